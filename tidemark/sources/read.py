@@ -114,14 +114,16 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: in
     return rows.agg(*found).select(F.explode(F.array(*columns)).alias("t")).select("t.*")
 
 
-def decode(df: DataFrame, fmt: str, schema: str, column: str = "value") -> DataFrame:
+def decode(
+    df: DataFrame, fmt: str, schema: str, options: dict[str, str] | None = None, column: str = "value"
+) -> DataFrame:
     """Rows from a binary or text message column, as JSON or Avro."""
     if fmt == "json":
-        message = F.from_json(F.col(column).cast("string"), schema)
+        message = F.from_json(F.col(column).cast("string"), schema, options or {})
     elif fmt == "avro":
         from pyspark.sql.avro.functions import from_avro
 
-        message = from_avro(F.col(column), schema)
+        message = from_avro(F.col(column), schema, options or {})
     else:
         raise ValueError(f"unknown message format {fmt!r}")
     return df.select(message.alias("_m")).select("_m.*")
