@@ -217,8 +217,8 @@ def sql_bm25(match: str) -> str:
     """
 
 
-def _bm25(t, match):
-    out = bm25(t.documents, "doc_id", ["text", "lang"], t.benchmark, "item_id", "text", 5, match)
+def _bm25(t, match, **how):
+    out = bm25(t.documents, "doc_id", ["text", "lang"], t.benchmark, "item_id", "text", 5, match, **how)
     return out.withColumn("distance", near("distance", 5))
 
 
@@ -289,3 +289,9 @@ def conversation_context(t):
     """The first four turns of every conversation as one context."""
     ranked = t.conversations.withColumn("rank", F.col("turn") + 1)
     return build_context(ranked, ["conv_id"], "text", "rank", 4, "\n")
+
+
+@query(sql_bm25(""))
+def bm25_by_join(t):
+    """The path for query sets whose term matrix is too big to broadcast."""
+    return _bm25(t, "any", matrix_bytes=0)

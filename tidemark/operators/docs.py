@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from ..session import spread_small
 from .skew import running_totals
 from .text import tokens
 
@@ -65,7 +66,8 @@ def chunk(
         )
 
     keep = keep if keep is not None else [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(split(F.col(text))).alias("pos", "_c")).select(*keep, "pos", "_c.*")
+    rows = spread_small(df.select(*dict.fromkeys([*keep, text])))
+    return rows.select(*keep, F.posexplode(split(F.col(text))).alias("pos", "_c")).select(*keep, "pos", "_c.*")
 
 
 def number_chunks(chunks: DataFrame, doc: str, pos: str = "pos", name: str = "chunk_id") -> DataFrame:
@@ -91,7 +93,7 @@ def embed(df: DataFrame, text: str, model: Model | None = None, name: str = "emb
     inside the JVM.
     """
     if model is None:
-        words = df.withColumn("_words", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
+        words = spread_small(df).withColumn("_words", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
         counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
         unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
         return unit.withColumn(name, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")

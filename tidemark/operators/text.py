@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from typing import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.columns import as_col
+from ..session import reliable, spread_small
 from .latest import top_rows
+from .topk import DIGITS, Best
 
 # The usual BM25 parameters and the floor for very common terms.
 BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_MIN_IDF = 1e-6
 
+# A terms x queries matrix up to this many bytes goes to every executor.
+MATRIX_BYTES = 64 * 1024 * 1024
+
 
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits."""
@@ -55,6 +66,82 @@ def postings(df: DataFrame, doc: str, text: Column, vocabulary: DataFrame) -> Da
     return words.join(vocabulary, "term", "left_semi").groupBy(doc, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _query_matrix(asked: DataFrame, qid: str, limit: int):
+    """Queries as a term table and a terms x queries 0/1 matrix, or None above ``limit`` bytes."""
+    size = asked.agg(F.count_distinct("term").alias("terms"), F.count_distinct(qid).alias("queries")).first()
+    if size["terms"] * size["queries"] * 8 > limit:
+        return None
+    pairs = asked.select(qid, "term").collect()
+    terms = {term: i for i, term in enumerate(sorted({r["term"] for r in pairs}))}
+    qids = sorted({r[qid] for r in pairs})
+    at = {q: j for j, q in enumerate(qids)}
+    matrix = np.zeros((len(terms), len(qids)))
+    for r in pairs:
+        matrix[terms[r["term"]], at[r[qid]]] = 1.0
+    return terms, qids, matrix
+
+
+def _bags(df: DataFrame, doc: str, text: Column, terms: dict[str, int]) -> DataFrame:
+    """Per document its length and the numbers of its words that some query asks for.
+
+    A document's words are put together again within the task that split them, so
+    the shuffle carries one short row per document.
+    """
+    spark = df.sparkSession
+    table = spark.createDataFrame(list(terms.items()), "term string, number int")
+    rows = spread_small(df.select(doc, text.alias("_text"))).select(doc, tokens("_text").alias("_w"))
+    words = rows.select(doc, F.size("_w").alias("length"), F.explode_outer("_w").alias("term"))
+    # the term table is bounded by the check of the query matrix
+    numbered = words.join(F.broadcast(table), "term", "left")
+    return numbered.groupBy(doc, "length").agg(F.collect_list("number").alias("words"))
+
+
+def _score_bags(
+    bags: DataFrame, doc: str, qid: str, id_types: tuple[str, str], qids: list, matrix: np.ndarray, k: int | None,
+    every_term: bool, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> DataFrame:
+    """Documents' word weights times the query matrix, best ``k`` per query and task.
+
+    ``weigh(tf, length)`` turns word counts into weights; smaller is better.
+    """
+    sent = bags.sparkSession.sparkContext.broadcast((qids, matrix))
+    ddl = f"`{qid}` {id_types[0]}, `{doc}` {id_types[1]}, distance double"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, matrix = sent.value
+        width = len(matrix)
+        wanted = matrix.sum(axis=0)
+        best = Best(qids, k)
+        for big in batches:
+            step = max(1, 4_000_000 // max(width, 1))
+            for first in range(0, big.num_rows, step):
+                batch = big.slice(first, step)
+                n = batch.num_rows
+                words = batch.column(2)
+                row = np.repeat(np.arange(n), words.value_lengths().to_numpy(zero_copy_only=False))
+                flat = row * width + words.flatten().to_numpy(zero_copy_only=False)
+                tf = np.bincount(flat.astype("int64"), minlength=n * width).reshape(n, width).astype("float64")
+                ids = np.array(batch.column(0).to_pylist())
+                length = batch.column(1).to_numpy(zero_copy_only=False).astype("float64")
+                hits = (tf > 0).astype("float32") @ matrix.astype("float32")
+                ok = hits == wanted if every_term else hits > 0
+                some = ok.any(axis=1)
+                if not some.any():
+                    continue
+                d = np.round(weigh(tf[some], length[some]) @ matrix, DIGITS)
+                ids, ok = ids[some], ok[some]
+                for j in np.flatnonzero(ok.any(axis=0)):
+                    best.offer(j, ids[ok[:, j]], d[ok[:, j], j])
+        yield pa.RecordBatch.from_arrays(best.columns(schema), schema=schema)
+
+    return bags.mapInArrow(run, ddl)
+
+
+def _types(queries: DataFrame, qid: str, df: DataFrame, doc: str) -> tuple[str, str]:
+    return queries.schema[qid].dataType.simpleString(), df.schema[doc].dataType.simpleString()
+
+
 def bm25(
     df: DataFrame,
     doc: str,
@@ -64,17 +151,45 @@ def bm25(
     query_text: str,
     k: int = 5,
     match: str = "all",
+    matrix_bytes: int = MATRIX_BYTES,
 ) -> DataFrame:
     """The ``k`` best documents per query: (query, document, rank, distance).
 
     ``distance`` is the negated BM25 score over all columns with equal weight, so
     the smallest is best. ``match="all"`` wants every query term in the document,
     ``"any"`` at least one.
+
+    Queries whose term matrix fits ``matrix_bytes`` are scored inside the document
+    tasks, which emit k rows per query each; more of them by a join on terms.
+    Runs jobs for the query terms and the document frequencies.
     """
     if match not in ("all", "any"):
         raise ValueError(f"unknown match {match!r}")
-    text = joined_text(columns)
     asked = query_terms(queries, qid, query_text)
+    known = _query_matrix(asked, qid, matrix_bytes)
+    if known is None:
+        ranked = _bm25_join(df, doc, joined_text(columns), asked, qid, match)
+    else:
+        terms, qids, matrix = known
+        bags = reliable(_bags(df, doc, joined_text(columns), terms))
+        corpus = bags.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("length")).first()
+        have = bags.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").count().collect()
+        df_ = np.zeros(len(terms))
+        for r in have:
+            df_[r["term"]] = r["count"]
+        docs, mean = corpus["docs"], corpus["length"] or 1.0
+        idf = np.maximum(np.log((docs - df_ + 0.5) / (df_ + 0.5)), BM25_MIN_IDF)
+
+        def weigh(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+            slack = BM25_K1 * (1 - BM25_B + BM25_B * length / mean)
+            return -idf * tf * (BM25_K1 + 1) / (tf + slack[:, None])
+
+        ranked = _score_bags(bags, doc, qid, _types(queries, qid, df, doc), qids, matrix, k, match == "all", weigh)
+    return top_rows(ranked, [qid], [F.asc("distance"), F.asc(doc)], k, "rank")
+
+
+def _bm25_join(df: DataFrame, doc: str, text: Column, asked: DataFrame, qid: str, match: str) -> DataFrame:
+    """The same by joining postings with the queries' terms."""
     found = postings(df, doc, text, asked.select("term"))
     corpus = df.select(F.size(tokens(text)).alias("n")).agg(
         F.struct(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("length"))
@@ -93,28 +208,36 @@ def bm25(
     )
     if match == "all":
         scored = scored.filter("_hit = _want")
-    # rounding lets equal scores tie whatever the order of addition
-    ranked = scored.select(qid, doc, F.round(-F.col("_score"), 9).alias("distance"))
-    return top_rows(ranked, [qid], [F.asc("distance"), F.asc(doc)], k, "rank")
+    return scored.select(qid, doc, F.round(-F.col("_score"), DIGITS).alias("distance"))
 
 
 def match_all(
-    df: DataFrame, doc: str, columns: list[str], queries: DataFrame, qid: str, query_text: str, k: int | None = None
+    df: DataFrame, doc: str, columns: list[str], queries: DataFrame, qid: str, query_text: str, k: int | None = None,
+    matrix_bytes: int = MATRIX_BYTES,
 ) -> DataFrame:
     """Documents holding every term of a query, ranked by the share of matching words."""
     asked = query_terms(queries, qid, query_text)
-    found = postings(df, doc, joined_text(columns), asked.select("term"))
-    hits = (
-        found.join(asked, "term")
-        .groupBy(qid, doc)
-        .agg(
-            (F.sum("tf") / F.first("length")).alias("text_rank"),
-            F.count(F.lit(1)).alias("_hit"),
-            F.first("n_terms").alias("_want"),
+    known = _query_matrix(asked, qid, matrix_bytes)
+    if known is None:
+        found = postings(df, doc, joined_text(columns), asked.select("term"))
+        hits = (
+            found.join(asked, "term")
+            .groupBy(qid, doc)
+            .agg(
+                (F.sum("tf") / F.first("length")).alias("_share"),
+                F.count(F.lit(1)).alias("_hit"),
+                F.first("n_terms").alias("_want"),
+            )
+            .filter("_hit = _want")
+            .select(qid, doc, F.round("_share", DIGITS).alias("text_rank"))
         )
-        .filter("_hit = _want")
-        .select(qid, doc, F.round("text_rank", 9).alias("text_rank"))
-    )
+    else:
+        terms, qids, matrix = known
+        found = _score_bags(
+            _bags(df, doc, joined_text(columns), terms), doc, qid, _types(queries, qid, df, doc), qids, matrix, k, True,
+            lambda tf, length: -tf / length[:, None],
+        )
+        hits = found.select(qid, doc, (-F.col("distance")).alias("text_rank"))
     if k is None:
         return hits
     return top_rows(hits, [qid], [F.desc("text_rank"), F.asc(doc)], k, "rank")

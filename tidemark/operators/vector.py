@@ -17,13 +17,12 @@ from ..functions.columns import cosine, dot, l1, l2
 from ..session import ONE_TASK_BYTES, estimated_bytes, shuffle_partitions
 from .latest import top_rows
 from .text import contains_any, match_all
+from .topk import DIGITS, Best
 
 METRICS = ("cosine", "l2", "l1", "inner_product")
 
 # Query vectors up to this many bytes go to every executor in one broadcast.
 QUERY_BYTES = 64 * 1024 * 1024
-# Equal vectors must tie whatever the order of additions.
-DIGITS = 9
 
 
 def distance(a: Column | str, b: Column | str, metric: str) -> Column:
@@ -84,40 +83,19 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
         return 1 - product / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
 
 
-class _Best:
-    """The k nearest rows per query seen so far in one task."""
-
-    def __init__(self, qids: np.ndarray, q: np.ndarray, metric: str, k: int):
-        self.qids, self.q, self.metric, self.k = qids, q, metric, k
-        self.ids = [[] for _ in qids]
-        self.dist = [np.empty(0) for _ in qids]
-
-    def add(self, ids: np.ndarray, x: np.ndarray, wanted: np.ndarray | None = None) -> None:
-        """Offer rows; ``wanted[query, row]`` limits which queries look at a row."""
-        step = max(1, 4_000_000 // max(len(ids), 1))
-        for first in range(0, len(self.qids), step):
-            block = np.round(_distances(x, self.q[first : first + step], self.metric), DIGITS)
-            for j, d in enumerate(block):
-                ok = ~np.isnan(d)
-                if wanted is not None:
-                    ok &= wanted[first + j]
-                if ok.any():
-                    self._merge(first + j, ids[ok], d[ok])
-
-    def _merge(self, j: int, ids: np.ndarray, d: np.ndarray) -> None:
-        if len(d) > self.k:
-            edge = np.partition(d, self.k - 1)[self.k - 1]
-            near = d <= edge
-            ids, d = ids[near], d[near]
-        d = np.concatenate([self.dist[j], d])
-        ids = np.concatenate([self.ids[j], ids]) if len(self.ids[j]) else ids
-        order = np.lexsort((ids, d))[: self.k]
-        self.ids[j], self.dist[j] = ids[order], d[order]
-
-    def columns(self, schema: pa.Schema) -> list[pa.Array]:
-        qids = [q for q, d in zip(self.qids.tolist(), self.dist) for _ in d]
-        ids = [i for ids in self.ids for i in np.asarray(ids).tolist()]
-        return [pa.array(c, t) for c, t in zip((qids, ids, np.concatenate(self.dist)), schema.types)]
+def _offer(
+    best: Best, q: np.ndarray, metric: str, ids: np.ndarray, x: np.ndarray, wanted: np.ndarray | None = None
+) -> None:
+    """Score rows against all queries; ``wanted[query, row]`` limits which pairs count."""
+    step = max(1, 4_000_000 // max(len(ids), 1))
+    for first in range(0, len(q), step):
+        block = np.round(_distances(x, q[first : first + step], metric), DIGITS)
+        for j, d in enumerate(block, first):
+            ok = ~np.isnan(d)
+            if wanted is not None:
+                ok &= wanted[j]
+            if ok.any():
+                best.offer(j, ids[ok], d[ok])
 
 
 def _out_schema(queries: DataFrame, qid: str, docs: DataFrame, id_: str) -> str:
@@ -174,7 +152,7 @@ def _search_broadcast(docs, queries, id_, vec, qid, qvec, metric, k, lists: dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q, probes = sent.value
-        best = _Best(np.array(qids), q, metric, k)
+        best = Best(qids, k)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -183,7 +161,7 @@ def _search_broadcast(docs, queries, id_, vec, qid, qvec, metric, k, lists: dict
             if probes is not None:
                 at = batch.column(2).to_numpy(zero_copy_only=False)
                 wanted = np.stack([np.isin(at, p) for p in probes])
-            best.add(np.array(batch.column(0).to_pylist()), x, wanted)
+            _offer(best, q, metric, np.array(batch.column(0).to_pylist()), x, wanted)
         yield pa.RecordBatch.from_arrays(best.columns(schema), schema=schema)
 
     return docs.mapInArrow(run, _out_schema(queries, qid, docs, id_))
@@ -219,9 +197,10 @@ def _search_grid(docs, queries, id_, vec, qid, qvec, metric, k, need, query_byte
             return schema.empty_table()
         vectors = asked.column(qvec).combine_chunks()
         q = _matrix(vectors, len(vectors[0]))
-        best = _Best(np.array(asked.column(qid).to_pylist()), q, metric, k)
+        best = Best(asked.column(qid).to_pylist(), k)
         for batch in found.to_batches():
-            best.add(np.array(batch.column(id_).to_pylist()), _matrix(batch.column(vec), q.shape[1]))
+            ids = np.array(batch.column(id_).to_pylist())
+            _offer(best, q, metric, ids, _matrix(batch.column(vec), q.shape[1]))
         return pa.table(best.columns(schema), schema=schema)
 
     keys = [*cells, "_d", "_q"]

@@ -57,6 +57,17 @@ def fits_one_task(*dfs: DataFrame) -> bool:
     return sum(estimated_bytes(df) for df in dfs) <= ONE_TASK_BYTES
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small input, which a scan leaves in a split or two, several tasks.
+
+    For work that is heavy per row; big inputs already have many splits and are
+    never moved.
+    """
+    if not fits_one_task(df):
+        return df
+    return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, 32))
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Spark's own broadcast threshold in bytes (0 when broadcasting is off)."""
     raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()
