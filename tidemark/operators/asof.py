@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import broadcast_limit, estimated_bytes, fits_one_task
+from ..session import ONE_TASK_BYTES, broadcast_limit, estimated_bytes, fits_one_task, row_bytes
 from .skew import TimeSlices, content_hash, micros, plan_time_slices
 
 
+# Feature rows per key up to which a broadcast lookup may walk them.
+LONG_HISTORY = 4096
+
+
 @dataclass(frozen=True)
 class Side:
     """The feature side of an as-of join.
@@ -62,9 +66,10 @@ def asof_join(
         set, carry the last feature row forward in time order. Keys that hold more
         rows than a shuffle partition should are cut into time slices, each
         seeded with the last feature row before it.
-      * ``broadcast``: turn a small feature side into one sorted history per key
-        and look it up without shuffling the entities. Used only when the side's
-        estimated size is below Spark's broadcast threshold; otherwise ``window``.
+      * ``broadcast``: turn a small feature side into validity intervals and look
+        them up without shuffling the entities. Used only when the side, by estimate
+        and by row count, is below Spark's broadcast threshold and no key has a long
+        history; otherwise ``window``.
       * ``auto``: ``broadcast`` for a small side next to a big entity frame.
 
     ``slices`` forces slicing into that many pieces even for small inputs.
@@ -80,46 +85,61 @@ def asof_join(
     out = entity
     by_keys: dict[tuple[str, ...], list[Side]] = {}
     for side in todo:
-        if side.keys and _use_history(entity, side, strategy):
-            out = _history_join(out, side, ets)
+        if side.keys and _use_intervals(entity, side, strategy):
+            out = _interval_join(out, side, ets)
         else:
             by_keys.setdefault(side.keys, []).append(side)
-    span = None
+    span, cut = None, bool(slices)
     if by_keys and not fits_one_task(entity, *[s.df for g in by_keys.values() for s in g]):
-        span = tuple(entity.agg(F.min(ets), F.max(ets)).first())  # one job, two values
+        # one job; the optimizer's estimate of a joined entity frame is far too big
+        lo, hi, n = entity.agg(F.min(ets), F.max(ets), F.count(F.lit(1))).first()
+        span = (lo, hi)
+        feats = sum(estimated_bytes(s.df.select(*s.keys, s.ts, *s.columns)) for g in by_keys.values() for s in g)
+        cut = cut or n * row_bytes(entity) + feats > ONE_TASK_BYTES
     for keys, group in by_keys.items():
-        out = _window_join(out, entity, list(keys), group, ets, span, slices)
+        out = _window_join(out, entity, list(keys), group, ets, span, cut, slices)
     order = [*entity.columns]
     for side in todo:
         order += [*side.columns.values(), *([side.ts_as] if side.ts_as else [])]
     return out.select(*order)
 
 
-def _use_history(entity: DataFrame, side: Side, strategy: str) -> bool:
+def _use_intervals(entity: DataFrame, side: Side, strategy: str) -> bool:
     if strategy not in ("auto", "window", "broadcast"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "window" or estimated_bytes(side.df) > broadcast_limit(side.df.sparkSession):
+    limit = broadcast_limit(side.df.sparkSession)
+    if strategy == "window" or estimated_bytes(side.df) > limit:
+        return False
+    if strategy == "auto" and fits_one_task(entity):
         return False
-    return strategy == "broadcast" or not fits_one_task(entity)
+    # the estimate is of compressed files, so count the rows; and a lookup walks the
+    # rows of its key, so a long history is better sorted once
+    rows = side.df.select(*side.keys, side.ts, *side.columns)
+    n, longest = rows.groupBy(*side.keys).count().agg(F.sum("count"), F.max("count")).first()
+    return (n or 0) * row_bytes(rows) <= limit and (longest or 0) <= LONG_HISTORY
 
 
-def _history_join(entity: DataFrame, side: Side, ets: str) -> DataFrame:
-    order = [F.col(side.ts).alias("at")]
-    if side.created:
-        order.append(F.col(side.created).alias("created"))
-    row = F.struct(
-        *order,
-        side.tie_break().alias("tie"),
-        F.struct(*[F.col(c).alias(o) for c, o in side.columns.items()]).alias("f"),
-    )
-    history = (
-        side.df.dropna(subset=[*side.keys, side.ts])
-        .groupBy(*side.keys)
-        .agg(F.sort_array(F.collect_list(row)).alias("_history"))
+def _interval_join(entity: DataFrame, side: Side, ets: str) -> DataFrame:
+    """Give every feature row the time it is valid until, then look it up by broadcast.
+
+    Validity intervals of one key are disjoint, so an entity row meets at most one.
+    """
+    order = [side.ts, *([side.created] if side.created else [])]
+    rows = side.df.dropna(subset=[*side.keys, side.ts]).withColumn("_tie", side.tie_break())
+    # of rows with equal event time only the last has a non-empty interval
+    until = F.lead(side.ts).over(W.partitionBy(*side.keys).orderBy(*order, "_tie"))
+    spans = rows.select(
+        *[F.col(k).alias(f"_key_{k}") for k in side.keys],
+        F.struct(
+            F.col(side.ts).alias("at"), F.struct(*[F.col(c).alias(o) for c, o in side.columns.items()]).alias("f")
+        ).alias("_hit"),
+        until.alias("_until"),
     )
-    joined = entity.join(F.broadcast(history), list(side.keys), "left")
-    hit = F.try_element_at(F.filter("_history", lambda r: r["at"] <= F.col(ets)), F.lit(-1))
-    return _emit(joined.withColumn("_hit", hit), side, ets, "_hit").drop("_history", "_hit")
+    valid = (F.col("_hit.at") <= F.col(ets)) & (F.col("_until").isNull() | (F.col(ets) < F.col("_until")))
+    for k in side.keys:
+        valid = valid & (F.col(k) == F.col(f"_key_{k}"))
+    joined = entity.join(F.broadcast(spans), valid, "left")
+    return _emit(joined, side, ets, "_hit").drop("_hit", "_until", *[f"_key_{k}" for k in side.keys])
 
 
 def _emit(df: DataFrame, side: Side, ets: str, hit: str) -> DataFrame:
@@ -152,7 +172,7 @@ def _prefilter(entity: DataFrame, side: Side, keys: list[str], span: tuple | Non
 
 def _window_join(
     out: DataFrame, entity: DataFrame, keys: list[str], sides: list[Side], ets: str, span: tuple | None,
-    slices: int | None,
+    cut: bool, slices: int | None,
 ) -> DataFrame:
     """Add the features of ``sides`` to ``out``.
 
@@ -165,7 +185,7 @@ def _window_join(
         out, entity, feats = out.withColumns(one), entity.withColumns(one), [f.withColumns(one) for f in feats]
         keys = ["_all"]
     plan = TimeSlices(keys, None)
-    if slices or span is not None:
+    if cut:
         time_type = entity.schema[ets].dataType
         probe = entity.select(*keys, F.col(ets).alias("_t"))
         for s, f in zip(sides, feats):

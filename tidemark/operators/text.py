@@ -114,7 +114,7 @@ def _score_bags(
         wanted = matrix.sum(axis=0)
         best = Best(qids, k)
         for big in batches:
-            step = max(1, 4_000_000 // max(width, 1))
+            step = max(1, 4_000_000 // max(matrix.shape))
             for first in range(0, big.num_rows, step):
                 batch = big.slice(first, step)
                 n = batch.num_rows
@@ -133,6 +133,9 @@ def _score_bags(
                 ids, ok = ids[some], ok[some]
                 for j in np.flatnonzero(ok.any(axis=0)):
                     best.offer(j, ids[ok[:, j]], d[ok[:, j], j])
+            if k is None:  # nothing to compare with later rows
+                yield pa.RecordBatch.from_arrays(best.columns(schema), schema=schema)
+                best = Best(qids, k)
         yield pa.RecordBatch.from_arrays(best.columns(schema), schema=schema)
 
     return bags.mapInArrow(run, ddl)

@@ -30,6 +30,8 @@ PARTIALS = {
     "var": ("sum", "count", "sum_sq"),
     "variance": ("sum", "count", "sum_sq"),
 }
+# Windows of up to this many hops are merged row by row.
+SHORT_WINDOW = 8
 MERGE = {"sum": F.sum, "count": F.sum, "sum_sq": F.sum, "min": F.min, "max": F.max}
 
 
@@ -106,22 +108,72 @@ def _combine(function: str, part: dict[str, Column]) -> Column:
     return F.sqrt(var) if function in ("std", "stddev") else var
 
 
+def _back(spec: Aggregation, hop: timedelta) -> int:
+    """How many hops the window of a spec spans."""
+    if spec.time_window is None:
+        raise ValueError(f"{spec.output} has no time window")
+    if spec.time_window <= hop or _micros(spec.time_window) % _micros(hop):
+        raise ValueError(f"window of {spec.output} must be a larger multiple of the hop")
+    return _micros(spec.time_window) // _micros(hop)
+
+
 def windowed_from_tiles(
-    tiles: DataFrame, keys: list[str], specs: list[Aggregation], hop: timedelta, ts_as: str = "window_end"
+    tiles: DataFrame,
+    keys: list[str],
+    specs: list[Aggregation],
+    hop: timedelta,
+    ts_as: str = "window_end",
+    dense: bool = False,
 ) -> DataFrame:
-    """The value of every spec over the window that ends where each tile ends."""
-    cols = {}
-    for s in specs:
-        if s.time_window is None:
-            raise ValueError(f"{s.output} has no time window")
-        if s.time_window <= hop or _micros(s.time_window) % _micros(hop):
-            raise ValueError(f"window of {s.output} must be a larger multiple of the hop")
-        back = _micros(s.time_window) // _micros(hop) - 1
-        w = W.partitionBy(*keys).orderBy("hop").rangeBetween(-back, 0)
-        part = {p: MERGE[p](f"{s.column}__{p}").over(w) for p in PARTIALS[s.function]}
-        cols[s.output] = _combine(s.function, part)
+    """The value of every spec over the window that ends where each tile ends.
+
+    Each partial is merged once per window length. On a dense grid long windows
+    take constant work per row, see ``_merge_dense``; otherwise a range frame over
+    hop numbers visits the tiles of the window.
+    """
+    parts = list(dict.fromkeys((_back(s, hop), f"{s.column}__{p}") for s in specs for p in PARTIALS[s.function]))
+    name = {part: f"_w{part[0]}_{part[1]}" for part in parts}
+    out = tiles
+    for hops in dict.fromkeys(h for h, _ in parts):
+        mine = [c for h, c in parts if h == hops]
+        if dense and hops > SHORT_WINDOW:
+            out = _merge_dense(out, keys, hops, {c: name[hops, c] for c in mine})
+        else:
+            w = W.partitionBy(*keys).orderBy("hop").rangeBetween(-(hops - 1), 0)
+            out = out.withColumns({name[hops, c]: MERGE[c.rsplit("__", 1)[1]](c).over(w) for c in mine})
+    cols = [
+        _combine(s.function, {p: F.col(name[_back(s, hop), f"{s.column}__{p}"]) for p in PARTIALS[s.function]}).alias(s.output)
+        for s in specs
+    ]
     end = F.timestamp_micros((F.col("hop") + 1) * F.lit(_micros(hop)))
-    return tiles.select(*keys, end.alias(ts_as), *[c.alias(n) for n, c in cols.items()])
+    return out.select(*keys, end.alias(ts_as), *cols)
+
+
+def _merge_dense(tiles: DataFrame, keys: list[str], hops: int, columns: dict[str, str]) -> DataFrame:
+    """Merge partials over the last ``hops`` rows of a dense grid, any length at the same cost.
+
+    The hops are cut into blocks as long as the window. A window then is the start
+    of its own block up to the row plus the rest of the block before it behind the
+    row ``hops`` earlier. Both are running merges within one block, so nothing
+    grows with the history.
+    """
+    block = F.call_function("div", F.col("hop"), F.lit(hops))
+    start = W.partitionBy(*keys, "_block").orderBy("hop").rowsBetween(W.unboundedPreceding, 0)
+    rest = W.partitionBy(*keys, "_block").orderBy(F.desc("hop")).rowsBetween(W.unboundedPreceding, -1)
+    along = W.partitionBy(*keys).orderBy("_block", "hop")  # the order ``start`` leaves behind
+    merge = {c: MERGE[c.rsplit("__", 1)[1]] for c in columns}
+    out = tiles.withColumn("_block", block)
+    out = out.withColumns({f"_r_{c}": merge[c](c).over(rest) for c in columns})
+    out = out.withColumns({f"_s_{c}": merge[c](c).over(start) for c in columns})
+    out = out.withColumns({f"_r_{c}": F.lag(f"_r_{c}", hops).over(along) for c in columns})
+    both = {}
+    for c, to in columns.items():
+        a, b = F.col(f"_s_{c}"), F.col(f"_r_{c}")
+        if merge[c] is F.sum:
+            both[to] = a + F.coalesce(b, F.lit(0))
+        else:
+            both[to] = (F.least if merge[c] is F.min else F.greatest)(a, b)  # both ignore nulls
+    return out.withColumns(both).drop("_block", *[f"_{x}_{c}" for x in "rs" for c in columns])
 
 
 def aggregate_tiled(
@@ -142,5 +194,5 @@ def aggregate_tiled(
     tiles = build_tiles(df, keys, specs, ts, hop)
     if dense:
         tiles = densify(tiles, keys)
-    out = windowed_from_tiles(tiles, keys, specs, hop, ts_as)
+    out = windowed_from_tiles(tiles, keys, specs, hop, ts_as, dense)
     return latest_per_key(out, keys, ts_as) if latest_only else out

@@ -53,6 +53,12 @@ def estimated_bytes(df: DataFrame) -> float:
         return math.inf
 
 
+def row_bytes(df: DataFrame) -> int:
+    """A rough width of one row: eight bytes per number, more for text and nesting."""
+    wide = {"string": 32, "binary": 256, "array": 512, "map": 256, "struct": 256}
+    return 8 + sum(wide.get(f.dataType.typeName(), 8) for f in df.schema)
+
+
 def fits_one_task(*dfs: DataFrame) -> bool:
     return sum(estimated_bytes(df) for df in dfs) <= ONE_TASK_BYTES
 
