@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,6 +13,9 @@ from ..session import fits_one_task, reliable, shuffle_partitions
 
 INF = float("inf")
 
+# A key with fewer rows than this is no burden for one task.
+HOT_ROWS = 100_000
+
 
 def micros(col: Column) -> Column:
     """Microseconds since the epoch; exact for both timestamp types in a UTC session."""
@@ -26,23 +29,18 @@ def content_hash(df: DataFrame, columns: list[str]) -> Column:
     )
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int) -> tuple[list[tuple], int]:
-    """Keys holding more than 1/``share`` of the rows, and how many rows they hold.
+def hot_keys(df: DataFrame, keys: list[str], share: int, floor: int = HOT_ROWS) -> tuple[list[tuple], int]:
+    """Keys holding more than 1/``share`` of the rows (and over ``floor``), and their rows in all.
 
     Runs one job that counts rows per key. Fewer than ``share`` keys can pass the
-    test, so the driver receives at most ``share`` rows.
+    test, so the driver receives at most ``share`` rows and the total.
     """
-    seen = Observation()
-    counts = (
-        df.select(*keys)
-        .dropna()
-        .observe(seen, F.count(F.lit(1)).alias("rows"))
-        .groupBy(*keys)
-        .count()
-    )
-    top = counts.orderBy(F.desc("count"), *keys).limit(share).collect()
-    total = seen.get["rows"]
-    hot = [r for r in top if r["count"] * share > total]
+    counts = df.select(*keys).dropna().groupBy(*keys).count()
+    top = counts.orderBy(F.desc("count"), *keys).limit(share).withColumn("_whole", F.lit(False))
+    whole = counts.agg(F.sum("count").alias("count")).withColumn("_whole", F.lit(True))
+    found = top.unionByName(whole, allowMissingColumns=True).collect()  # both sides reuse one shuffle
+    total = next(r["count"] for r in found if r["_whole"]) or 0
+    hot = [r for r in found if not r["_whole"] and r["count"] * share > total and r["count"] > floor]
     return [tuple(r[k] for k in keys) for r in hot], sum(r["count"] for r in hot)
 
 
@@ -98,8 +96,9 @@ def plan_time_slices(rows: DataFrame, keys: list[str], ts: str, pieces: int | No
     bounded by the number of shuffle partitions.
     """
     spark = rows.sparkSession
+    floor = 0 if pieces else HOT_ROWS
     pieces = pieces or max(shuffle_partitions(spark), 2)
-    found, hot_rows = hot_keys(rows, keys, pieces)
+    found, _ = hot_keys(rows, keys, pieces, floor)
     if not found:
         return TimeSlices(keys, None)
     schema = rows.select(*keys).schema
