@@ -78,6 +78,11 @@ def densify(tiles: DataFrame, keys: list[str]) -> DataFrame:
 
     A tile produces the empty hops up to its successor, so the grid needs no join.
     """
+    return _grid(tiles, keys).drop("_index")
+
+
+def _grid(tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """The dense grid with each hop's position in it."""
     ends = tiles.agg(F.struct(F.min("hop").alias("lo"), F.max("hop").alias("hi"))).scalar()
     w = W.partitionBy(*keys).orderBy("hop")
     first = F.row_number().over(w) == 1
@@ -90,6 +95,7 @@ def densify(tiles: DataFrame, keys: list[str]) -> DataFrame:
     return spread.select(
         *keys,
         F.col("_at").alias("hop"),
+        (F.col("_at") - ends["lo"]).alias("_index"),
         *[
             F.when(own, F.col(p)).otherwise(F.lit(0) if MERGE[p.rsplit("__", 1)[1]] is F.sum else None).alias(p)
             for p in partials
@@ -127,9 +133,9 @@ def windowed_from_tiles(
 ) -> DataFrame:
     """The value of every spec over the window that ends where each tile ends.
 
-    Each partial is merged once per window length. On a dense grid long windows
-    take constant work per row, see ``_merge_dense``; otherwise a range frame over
-    hop numbers visits the tiles of the window.
+    Each partial is merged once per window length. On a dense grid (``_grid``) long
+    windows take constant work per row, see ``_merge_dense``; otherwise a range
+    frame over hop numbers visits the tiles of the window.
     """
     parts = list(dict.fromkeys((_back(s, hop), f"{s.column}__{p}") for s in specs for p in PARTIALS[s.function]))
     name = {part: f"_w{part[0]}_{part[1]}" for part in parts}
@@ -152,12 +158,12 @@ def windowed_from_tiles(
 def _merge_dense(tiles: DataFrame, keys: list[str], hops: int, columns: dict[str, str]) -> DataFrame:
     """Merge partials over the last ``hops`` rows of a dense grid, any length at the same cost.
 
-    The hops are cut into blocks as long as the window. A window then is the start
+    The grid is cut into blocks as long as the window, from its first hop on. A window then is the start
     of its own block up to the row plus the rest of the block before it behind the
     row ``hops`` earlier. Both are running merges within one block, so nothing
     grows with the history.
     """
-    block = F.call_function("div", F.col("hop"), F.lit(hops))
+    block = F.call_function("div", F.col("_index"), F.lit(hops))
     start = W.partitionBy(*keys, "_block").orderBy("hop").rowsBetween(W.unboundedPreceding, 0)
     rest = W.partitionBy(*keys, "_block").orderBy(F.desc("hop")).rowsBetween(W.unboundedPreceding, -1)
     along = W.partitionBy(*keys).orderBy("_block", "hop")  # the order ``start`` leaves behind
@@ -193,6 +199,6 @@ def aggregate_tiled(
     """
     tiles = build_tiles(df, keys, specs, ts, hop)
     if dense:
-        tiles = densify(tiles, keys)
+        tiles = _grid(tiles, keys)
     out = windowed_from_tiles(tiles, keys, specs, hop, ts_as, dense)
     return latest_per_key(out, keys, ts_as) if latest_only else out
