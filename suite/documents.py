@@ -15,13 +15,15 @@ def sql_last(mark: str) -> str:
     return f"length(piece) - length(list_last(string_split(piece, {mark}))) - length({mark})"
 
 
-def sql_chunk_rows(size: int, overlap: int) -> str:
+def sql_chunk_rows(size: int, overlap: int, tail: bool = False) -> str:
     """Recursive form of the chunking rule; a piece without a break gives a negative offset."""
     marks = ["'. '", "chr(10) || chr(10)", "chr(10)", "' '"]
     whens = " ".join(
         f"when {sql_last(m)} > {size // 2} then a + {sql_last(m)} + length({m})" for m in marks
     )
 
+    more = f"greatest(b - {overlap}, a + 1) < length(text)" if tail else "b < length(text)"
+
     def step(source: str) -> str:
         return f"""
             select doc_id, text, pos, a, case when least(a + {size}, length(text)) >= length(text) then length(text)
@@ -33,7 +35,7 @@ def sql_chunk_rows(size: int, overlap: int) -> str:
         with recursive c as (
             {step("select doc_id, text, 0 as pos, 0 as a from documents where length(text) > 0")}
             union all
-            {step(f"select doc_id, text, pos + 1 as pos, greatest(b - {overlap}, a + 1) as a from c where b < length(text)")}
+            {step(f"select doc_id, text, pos + 1 as pos, greatest(b - {overlap}, a + 1) as a from c where {more}")}
         )
         select doc_id, pos, a as start_char, b as end_char,
                trim(substr(text, a + 1, b - a), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) as text from c
@@ -45,6 +47,13 @@ def chunks(t):
     return chunk(t.documents.select("doc_id", "text"), "text")
 
 
+@query(f"select doc_id, pos, start_char, end_char, length(text) as size from ({sql_chunk_rows(1000, 50, True)})")
+def chunks_with_tail(t):
+    """With the ever shorter rests at the end of a text."""
+    pieces = chunk(t.documents.select("doc_id", "text"), "text", 1000, 50, tail=True)
+    return pieces.select("doc_id", "pos", "start_char", "end_char", F.length("text").alias("size"))
+
+
 @query(
     f"select row_number() over (order by doc_id, pos) - 1 as chunk_id, doc_id, start_char, end_char, length(text) as size from ({sql_chunk_rows(500, 50)})"
 )
@@ -196,8 +205,8 @@ def keyword_hits(t):
 
 
 SQL_TEXT = r"""
-    d as (select doc_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', text, lang)), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
-    q as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as w from benchmark),
+    d as (select doc_id, list_filter(regexp_split_to_array(strip_accents(lower(concat_ws(' ', text, lang))), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+    q as (select item_id, list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as w from benchmark),
     terms as (select item_id, len(w) as n_terms, unnest(w) as term from q),
     tf as (select doc_id, length, term, count(*) as tf from (select doc_id, len(w) as length, unnest(w) as term from d)
            where term in (select term from terms) group by all)

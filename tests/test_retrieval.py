@@ -165,7 +165,7 @@ def corpus(seed, n):
 
 
 def words(text):
-    return [w for w in re.split(r"[^\w]+", text.lower()) if w]
+    return [w for w in re.split(r"[^\w]+", text.lower().replace("é", "e")) if w]
 
 
 def brute_bm25(docs, queries, k, match):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from typing import Callable, Iterator
 
 import numpy as np
@@ -25,9 +26,19 @@ BM25_MIN_IDF = 1e-6
 MATRIX_BYTES = 64 * 1024 * 1024
 
 
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the same letters without."""
+    marked = [chr(c) for c in range(0xC0, 0x250) if chr(c).islower() and len(unicodedata.normalize("NFD", chr(c))) > 1]
+    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+
+
+MARKED, PLAIN = _accents()
+
+
 def tokens(text: Column | str) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(as_col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits, Latin letters without their accents."""
+    folded = F.translate(F.lower(as_col(text)), MARKED, PLAIN)
+    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def joined_text(columns: list[str]) -> Column:

@@ -97,7 +97,7 @@ def _grid(tiles: DataFrame, keys: list[str]) -> DataFrame:
         F.col("_at").alias("hop"),
         (F.col("_at") - ends["lo"]).alias("_index"),
         *[
-            F.when(own, F.col(p)).otherwise(F.lit(0) if MERGE[p.rsplit("__", 1)[1]] is F.sum else None).alias(p)
+            (F.coalesce(F.when(own, F.col(p)), F.lit(0)) if MERGE[p.rsplit("__", 1)[1]] is F.sum else F.when(own, F.col(p))).alias(p)
             for p in partials
         ],
     )

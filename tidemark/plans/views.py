@@ -101,7 +101,8 @@ class View:
             return aggregate(out, list(self.keys), specs, self.ts)
         if self.ts in out.columns:
             out = latest_per_key(out, list(self.keys), self.ts, self.created, [self.tie] if self.tie else [])
-        return self.check(out)
+        named = dict.fromkeys([*self.keys, *self.features, self.ts, self.created])
+        return self.check(out.select(*[c for c in named if c in out.columns or c in self.features]))
 
     def check(self, df: DataFrame) -> DataFrame:
         """Raise on a failed declared check (runs one job when there are any)."""

@@ -47,7 +47,8 @@ class Workspace:
     def write_view(self, df: DataFrame, view: str, to: str = "online", batch: int | None = None) -> None:
         """Write rows to the view's online and/or offline table.
 
-        With a batch id, writing the same batch again changes nothing.
+        With a batch id, writing the same batch again changes nothing, and the
+        caller vouches for the columns; otherwise they are checked against the table.
         """
         if to not in PUSH_TARGETS:
             raise ValueError(f"unknown target {to!r}")
@@ -56,12 +57,10 @@ class Workspace:
             table.upsert(df, table.next_batch(self.spark) if batch is None else batch)
         if to != "online":
             path = self.offline_path(view)
-            try:
-                df = conform(df, self._stored(path).schema)
-            except AnalysisException:
-                pass  # the first write defines the table
             if batch is None:
                 batch = self._next(path)
+                if batch:  # the first write defines the table
+                    df = conform(df, self._stored(path).schema)
             (
                 df.withColumn("ingest_batch", F.lit(batch).cast("long"))
                 .write.mode("overwrite")
