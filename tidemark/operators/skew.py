@@ -32,15 +32,23 @@ def content_hash(df: DataFrame, columns: list[str]) -> Column:
 def hot_keys(df: DataFrame, keys: list[str], share: int, floor: int = HOT_ROWS) -> tuple[list[tuple], int]:
     """Keys holding more than 1/``share`` of the rows (and over ``floor``), and their rows in all.
 
-    Runs one job that counts rows per key. Fewer than ``share`` keys can pass the
-    test, so the driver receives at most ``share`` rows and the total.
+    A first scan counts rows per hash bucket of the key, which shuffles next to
+    nothing however many keys there are. Only a bucket over the limit can hold
+    such a key, and only the rows of those buckets are then counted per key.
+    Fewer than ``share`` buckets and keys can pass, which bounds what is collected.
     """
-    counts = df.select(*keys).dropna().groupBy(*keys).count()
-    top = counts.orderBy(F.desc("count"), *keys).limit(share).withColumn("_whole", F.lit(False))
-    whole = counts.agg(F.sum("count").alias("count")).withColumn("_whole", F.lit(True))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(min(64 * share, 1 << 20))).cast("int")
+    rows = df.select(*keys).dropna().withColumn("_bucket", bucket)
+    counts = rows.groupBy("_bucket").count()
+    top = counts.orderBy(F.desc("count")).limit(share)
+    whole = counts.agg(F.sum("count").alias("count"))
     found = top.unionByName(whole, allowMissingColumns=True).collect()  # both sides reuse one shuffle
-    total = next(r["count"] for r in found if r["_whole"]) or 0
-    hot = [r for r in found if not r["_whole"] and r["count"] * share > total and r["count"] > floor]
+    total = next(r["count"] for r in found if r["_bucket"] is None) or 0
+    limit = max(total / share, floor)
+    full = [r["_bucket"] for r in found if r["_bucket"] is not None and r["count"] > limit]
+    if not full:
+        return [], 0
+    hot = rows.filter(F.col("_bucket").isin(full)).groupBy(*keys).count().filter(F.col("count") > limit).collect()
     return [tuple(r[k] for k in keys) for r in hot], sum(r["count"] for r in hot)
 
 
