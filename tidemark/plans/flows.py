@@ -57,17 +57,26 @@ def training_set_relabelled(
     return derive_ratios(remediate(joined, critical), ratios)
 
 
+def ingest_rows(
+    docs: DataFrame, doc: str, text: str, target: str, size: int = 1000, overlap: int = 200, model: Model | None = None,
+    tail: bool = False, keep: list[str] = (),
+) -> DataFrame:
+    """Chunk, embed, number and write documents; returns the written table.
+
+    Embedded chunks are written once; the written table is then numbered in
+    ``doc`` order.
+    """
+    spark = docs.sparkSession
+    pieces = chunk(docs, text, size, overlap, tail, keep=[doc, *keep])
+    embed(pieces, "text", model).write.mode("overwrite").parquet(target + "/chunks")
+    number_chunks(spark.read.parquet(target + "/chunks"), doc).write.mode("overwrite").parquet(target + "/numbered")
+    return spark.read.parquet(target + "/numbered")
+
+
 def ingest_documents(
     spark: SparkSession, path: str, target: str, size: int = 1000, overlap: int = 200, model: Model | None = None,
     tail: bool = False,
 ) -> DataFrame:
-    """Read files, chunk, embed and write them; returns row count and total characters.
-
-    Embedded chunks are written once; the written table is then numbered.
-    """
+    """Read files and ingest them; returns row count and total characters."""
     docs = read_documents(spark, path)
-    pieces = chunk(docs, "content", size, overlap, tail, keep=["source", "filename"])
-    embed(pieces, "text", model).write.mode("overwrite").parquet(target + "/chunks")
-    stored = spark.read.parquet(target + "/chunks")
-    number_chunks(stored, "source").write.mode("overwrite").parquet(target + "/numbered")
-    return output_stats(spark.read.parquet(target + "/numbered"), "text")
+    return output_stats(ingest_rows(docs, "source", "content", target, size, overlap, model, tail, ["filename"]), "text")
