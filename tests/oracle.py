@@ -23,7 +23,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else v + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     return v

@@ -23,7 +23,7 @@ BM25_B = 0.75
 BM25_MIN_IDF = 1e-6
 
 # A terms x queries matrix up to this many bytes goes to every executor.
-MATRIX_BYTES = 64 * 1024 * 1024
+MATRIX_BYTES = 16 * 1024 * 1024
 
 
 def _accents() -> tuple[str, str]:

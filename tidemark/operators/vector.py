@@ -143,10 +143,11 @@ def vector_search(
 
 def _search_broadcast(docs, queries, id_, vec, qid, qvec, metric, k, lists: dict | None = None) -> DataFrame:
     """``lists`` maps a query to the document lists it probes (column ``list``)."""
-    rows = queries.collect()  # checked against the byte limit by the caller
-    qids = [r[0] for r in rows]
+    table = queries.toArrow()  # checked against the byte limit by the caller
+    qids = table.column(0).to_pylist()
+    vectors = table.column(1).combine_chunks()
     sent = docs.sparkSession.sparkContext.broadcast(
-        (qids, np.array([r[1] for r in rows], dtype="float64"), [sorted(lists[q]) for q in qids] if lists else None)
+        (qids, _matrix(vectors, len(vectors[0])), [sorted(lists[q]) for q in qids] if lists else None)
     )
     schema = _arrow_schema(queries, qid, docs, id_)
 
@@ -209,14 +210,23 @@ def _search_grid(docs, queries, id_, vec, qid, qvec, metric, k, need, query_byte
     )
 
 
-def ivf_build(df: DataFrame, vec: str, nlist: int = 128, seed: int = 7, iterations: int = 20) -> tuple[DataFrame, list]:
+def ivf_build(
+    df: DataFrame, vec: str, nlist: int = 128, seed: int = 7, iterations: int = 20, learn_from: DataFrame | None = None
+) -> tuple[DataFrame, list]:
     """Assign each vector to one of ``nlist`` lists; returns (rows with ``list``, centroids).
 
-    Write the rows partitioned by ``list`` so a search reads only probed lists.
+    Every row is assigned. The centroids are learnt from all rows, or from
+    ``learn_from`` when passing over everything several times is too much. Write the
+    rows partitioned by ``list`` so a search reads only probed lists.
     """
-    ready = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
-    means = KMeans(k=nlist, seed=seed, maxIter=iterations, featuresCol="_v", predictionCol="list").fit(ready)
-    return means.transform(ready).drop("_v"), [c.tolist() for c in means.clusterCenters()]
+
+    def ready(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
+
+    means = KMeans(k=nlist, seed=seed, maxIter=iterations, featuresCol="_v", predictionCol="list").fit(
+        ready(df if learn_from is None else learn_from)
+    )
+    return means.transform(ready(df)).drop("_v"), [c.tolist() for c in means.clusterCenters()]
 
 
 def ivf_search(
