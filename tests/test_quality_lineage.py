@@ -7,7 +7,7 @@ from conftest import rows, small
 
 from tidemark.functions.columns import dataset_parts
 from tidemark.operators.lineage import (
-    edges, indirect, parse_events, pipelines_of, relations, subgraph, trace_all_upstream, trace_upstream, walk,
+    edges, indirect, parse_events, namespaces_of, relations, subgraph, trace_all_upstream, trace_upstream, walk,
 )
 from tidemark.operators.ml import class_report, evaluate, in_test, predict, roc_auc, split, train
 from tidemark.operators.project import derive_ratios, encode_fixed, project, to_utc
@@ -131,8 +131,8 @@ def test_walks(spark):
     assert rows(walk(table, start, 1, "in"), "node", "distance") == [("a", 0), ("c", 1), ("z", 1)]
     assert rows(walk(table, start, 0)) == [("a", 0)]
     assert rows(subgraph(table, "z", 1), "src", "dst", "distance") == [("a", "b", 1), ("a", "c", 1), ("z", "a", 0)]
-    assert rows(pipelines_of(graph(spark, CHAIN), "dataset:a:final", 10)) == [("n1",), ("n2",)]
-    assert rows(pipelines_of(graph(spark, CHAIN), "dataset:a:final", 2)) == [("n2",)]
+    assert rows(namespaces_of(graph(spark, CHAIN), "dataset:a:final", 10)) == [("n1",), ("n2",)]
+    assert rows(namespaces_of(graph(spark, CHAIN), "dataset:a:final", 2)) == [("n2",)]
 
 
 def test_indirect_relations(spark):

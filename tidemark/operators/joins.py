@@ -7,7 +7,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .asof import interval
 
 
 def join_views(views: dict[str, DataFrame], keys: list[str], how: str = "left") -> DataFrame:
