@@ -86,12 +86,12 @@ def broadcast_limit(spark: SparkSession) -> int:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Taken from ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder of this machine.
+    Taken from ``spark.checkpoint.dir``. Without that setting a session in a single
+    process, as in tests, gets a temporary folder; any other is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = spark.conf.get("tidemark.scratch", None)
         if not root:
