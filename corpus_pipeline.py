@@ -11,11 +11,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, packing, simhash
+from tidemark.llm import exact_dedup, packing, quality, simhash
 from tidemark.session import scratch_root
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), threshold=0.3)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_unique(docs, exact_dedup.own_index(spark))
 
@@ -30,6 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good),
     ("exact dedup", exact),
     ("near dedup", near),
     ("best-fit packing", pack),

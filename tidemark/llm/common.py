@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import reliable, scratch_root
+from tidemark.session import reliable, scratch_root, shuffle_partitions
 
 MARK = "_tm_"  # prefix of columns the operators add beside a caller's own
 
@@ -59,6 +59,26 @@ def held_out(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row per key and the key's number of rows in ``size``.
+
+    Keys with over a thousandth of the rows, of which there are under a thousand, are
+    broadcast by name; their rows are dealt out by a hash and meet copies of their
+    group, so no key is one task.
+    """
+    spark = rows.sparkSession
+    n, salt = f"{MARK}n", f"{MARK}salt"
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > max(1000, total // 1000)
+    salts = shuffle_partitions(spark)
+    named = F.broadcast(groups.where(hot).select(key, F.lit(salts).alias(n)))
+    dealt = rows.join(named, key, "left").withColumn(
+        salt, F.when(F.col(n).isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).cast("int")
+    )
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.drop(n).join(groups.withColumn(salt, F.explode(copies)), [key, salt]).drop(salt)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
 

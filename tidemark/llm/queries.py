@@ -60,3 +60,47 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     cut = pieces(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
     return pack(cut, 1024).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op4_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over 2048 tokens."""
+    from .token_counts import count_tokens
+
+    counted = count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    from .secret_scan import scan
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = scan(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, and one made of control strings, formatted and read back."""
+    from .chat import digests, fold, render
+
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.sql(
+        "select -1L as conv_id, t as turn, r as role, '</s>[INST] ok [/INST]' as text "
+        "from values (0L, 'user'), (1L, 'assistant') as v(t, r)"
+    )
+    events = turns.unionByName(odd).select(
+        "conv_id", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "turn", "role", "text"
+    )
+    return digests(render(fold(events)))
+
+
+@query()
+def op8_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    from .quality import classify
+
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return classify(table(spark, folder, "documents"), labels, threshold=0.3, folds=5).withColumnRenamed("id", "doc_id")
