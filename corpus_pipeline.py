@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, packing, quality, simhash
+from tidemark.llm import decontaminate, exact_dedup, packing, quality, simhash
 from tidemark.session import scratch_root
 
 
@@ -30,6 +30,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one_of_each(docs, shingle=3, max_bits=3)
 
 
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
     return packing.pack(cut, 1024).withColumnRenamed("id", "doc_id")
@@ -39,6 +43,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality", good),
     ("exact dedup", exact),
     ("near dedup", near),
+    ("decontamination", uncontaminated),
     ("best-fit packing", pack),
 ]
 

@@ -104,3 +104,12 @@ def op8_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
 
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     return classify(table(spark, folder, "documents"), labels, threshold=0.3, folds=5).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of a document that holds a passage of a benchmark item."""
+    from .decontaminate import find_passages
+
+    found = find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
