@@ -113,3 +113,12 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
     found = find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op3_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that belong to passages found earlier."""
+    from .repeats import repeated_words
+
+    found = repeated_words(table(spark, folder, "documents"), window=20)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
