@@ -14,11 +14,12 @@ from tidemark.session import reliable, scratch_root, shuffle_partitions
 MARK = "_tm_"  # prefix of columns the operators add beside a caller's own
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder once and read it back."""
+def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """Write ``df`` below the shared folder once, partitioned by some columns, and read it back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -122,3 +122,11 @@ def op3_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
     found = repeated_words(table(spark, folder, "documents"), window=20)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op7_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by a model of nine tenths of them."""
+    from .katz import fit, score
+
+    return score(fit(table(spark, folder, "documents"), folds=10)).withColumnRenamed("id", "doc_id")
