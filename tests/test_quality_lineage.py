@@ -118,6 +118,25 @@ def test_trace(spark):
     assert everything == [(1, "job:n2:join", "dataset:a:clean"), (2, "job:n1:load", "dataset:a:raw")]
 
 
+def test_long_traces_are_whole(spark):
+    n = 300
+    pairs = [e for k in range(n) for e in ((f"dataset:a:{k}", f"job:a:{k}"), (f"job:a:{k}", f"dataset:a:{k + 1}"))]
+    chain = rows(trace_upstream(spark.createDataFrame(pairs, "src string, dst string"), f"dataset:a:{n}"), "step", "input_dataset")
+    assert sorted(chain) == [(k, f"dataset:a:{k}") for k in range(n)]
+
+
+def test_ids_with_colons_do_not_collide(spark):
+    events = [("j", "pg://h", "5432:t"), ("k:l", "pg://h:5432", "t"), ("k:l", "100%3A", "u")]
+    lines = [
+        (f'{{"eventType":"COMPLETE","job":{{"namespace":"n:{j}","name":"x:y"}},"inputs":[{{"namespace":"{ns}","name":"{name}"}}],"outputs":[]}}',)
+        for j, ns, name in events
+    ]
+    table = edges(parse_events(spark.createDataFrame(lines, "e string"), "e"))
+    assert table.count() == 3
+    start = table.where("src like '%5432'").first() or table.where("src like '%5432:t'").first()
+    assert rows(namespaces_of(table, start["src"], 1)) == [("n:k:l",)]
+
+
 def test_trace_ends_in_a_cycle(spark):
     table = graph(spark, [("dataset:x:a", "job:n:f"), ("job:n:f", "dataset:x:b"), ("dataset:x:b", "job:n:g"), ("job:n:g", "dataset:x:a")])
     assert trace_upstream(table, "dataset:x:a").count() == 2

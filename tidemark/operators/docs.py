@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -24,26 +26,31 @@ CHUNKS = "array<struct<text: string, start_char: int, end_char: int>>"
 def chunk_spans(text: str, size: int, overlap: int, tail: bool = False) -> list[tuple[int, int]]:
     """Character ranges of a text's chunks.
 
-    A chunk that does not reach the end of the text is cut behind the last
-    occurrence of the first break that lies past the chunk's middle. The next
+    The places of every break are found once. A chunk that does not reach the end
+    of the text is cut behind the last occurrence of the first break that lies
+    past the chunk's middle, looked up by bisection. The next
     chunk starts ``overlap`` characters before the cut, but at least one character
     further on. The chunk that reaches the end is the last one, unless ``tail``
     asks for the ever shorter rests that the stepping rule alone produces.
     """
-    spans, at, total = [], 0, len(text)
-    while at < total:
-        stop = min(at + size, total)
-        if stop < total:
-            for mark in BREAKS:
-                found = text.rfind(mark, at, stop)
-                if found - at > size // 2:
-                    stop = found + len(mark)
-                    break
-        spans.append((at, stop))
-        if stop >= total and not tail:
-            break
-        at = max(stop - overlap, at + 1)
-    return spans
+    breaks = [(len(mark), [m.start() for m in re.finditer(f"(?={re.escape(mark)})", text)]) for mark in BREAKS]
+
+    def cut(start: int, limit: int) -> int:
+        """Where a chunk from ``start`` that may go up to ``limit`` ends."""
+        for width, places in breaks:
+            before = bisect_right(places, limit - width)
+            if before and places[before - 1] > start + size // 2:
+                return places[before - 1] + width
+        return limit
+
+    def spans(start: int) -> Iterator[tuple[int, int]]:
+        while start < len(text):
+            reaches_end = start + size >= len(text)
+            end = len(text) if reaches_end else cut(start, start + size)
+            yield start, end
+            start = max(end - overlap, start + 1) if tail or not reaches_end else len(text)
+
+    return list(spans(0))
 
 
 def chunk(
