@@ -10,7 +10,9 @@ from tidemark.plans.views import OnDemandView, View
 from tidemark.plans.workspace import Workspace
 from tidemark.session import scratch_path
 from tidemark.sources.read import BatchSource, read_csv
-from tidemark.sources.write import LatestTable, export_parquet, offline_append, save_dataset
+from tidemark.sources.write import (
+    LatestTable, export_parquet, feature_log, offline_append, save_dataset, write_feature_log,
+)
 
 from . import near, query
 from .documents import sql_chunk_rows
@@ -43,8 +45,8 @@ def pushed_online(t):
     """Two batches pushed in the wrong order leave the newest values."""
     space = space_of(t, activity(t))
     rows = t.events.select("user_id", "value", "ts")
-    space.push(["activity"], rows.filter(F.col("ts") >= F.lit(HALF)), "online", batch=0)
-    space.push(["activity"], rows.filter(F.col("ts") < F.lit(HALF)), "online", batch=1)
+    space.push(["activity"], rows.filter(F.col("ts") >= F.lit(HALF)), "online")
+    space.push(["activity"], rows.filter(F.col("ts") < F.lit(HALF)), "online")
     return space.online("activity").read(t.spark).select("user_id", "value", "ts")
 
 
@@ -52,21 +54,25 @@ def pushed_online(t):
 def pushed_offline(t):
     space = space_of(t, activity(t))
     rows = t.events.select("user_id", "value", "ts")
-    space.push(["activity"], rows.filter(F.col("ts") >= F.lit(HALF)), "offline", batch=0)
-    space.push(["activity"], rows.filter(F.col("ts") < F.lit(HALF)), "offline", batch=1)
+    space.push(["activity"], rows.filter(F.col("ts") >= F.lit(HALF)), "offline")
+    space.push(["activity"], rows.filter(F.col("ts") < F.lit(HALF)), "offline")
     return space.offline("activity").select("user_id", "value", "ts")
 
 
 @query(LAST_VALUE.format(where=""))
 def compacted_table(t):
-    """Upserts by event type, then compaction into a fresh table."""
+    """Upserts by event type, a compaction, and one upsert more; the read scans two partitions."""
     table = LatestTable(scratch_path(t.spark, "latest"), ("user_id",), "ts")
     kinds = [["click", "view"], ["purchase"], ["click", "view", "purchase"]]
     rows = t.events.select("user_id", "value", "ts", "event_type")
     for batch, kind in enumerate(kinds):
         part = rows.filter(F.col("event_type").isin(kind) if batch < 2 else ~F.col("event_type").isin(kind))
-        table.upsert(part.drop("event_type"), batch)
-    return table.compact(t.spark, scratch_path(t.spark, "latest")).read(t.spark).select("user_id", "value", "ts")
+        if batch == 2:
+            table.compact(t.spark)
+        table.upsert(part.drop("event_type"))
+    if table.batches(t.spark).select("batch_writer").distinct().count() != 2:
+        raise AssertionError("a compacted partition is still read")
+    return table.read(t.spark).select("user_id", "value", "ts")
 
 
 @query(
@@ -94,9 +100,12 @@ def saved_range(t):
 
 @query("select o_orderpriority, count(*) as n, round(1e-9 + sum(o_totalprice), 2) as total from orders group by 1")
 def exported_orders(t):
-    """Staged parquet files, read back from their list."""
-    files = export_parquet(t.orders, scratch_path(t.spark, "export"))
-    back = t.spark.read.parquet(*files)
+    """Staged parquet files, listed and read back."""
+    place = scratch_path(t.spark, "export")
+    listed = export_parquet(t.orders, place).agg(F.sum("rows")).first()[0]
+    back = t.spark.read.parquet(place)
+    if back.count() != listed:
+        raise AssertionError("the list of files is not whole")
     return back.groupBy("o_orderpriority").agg(F.count("*").alias("n"), near(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -113,14 +122,15 @@ def appended_orders(t):
     return t.spark.read.parquet(path).withColumn("o_totalprice", near("o_totalprice", 2))
 
 
-@query("select c_custkey, c_name, c_nationkey, round(1e-9 + c_acctbal, 2) as c_acctbal from customer")
+@query("select c_custkey, c_name, c_nationkey, round(1e-9 + c_acctbal, 2) as c_acctbal, c_mktsegment from customer")
 def csv_round_trip(t):
     """CSV with a header and inferred types."""
     path = scratch_path(t.spark, "csv")
-    t.customer.drop("c_mktsegment").write.option("header", True).csv(path)
+    t.customer.write.option("header", True).csv(path)
     back = read_csv(t.spark, path)
     return back.select(
-        F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_nationkey", near("c_acctbal", 2).alias("c_acctbal")
+        F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_nationkey", near("c_acctbal", 2).alias("c_acctbal"),
+        "c_mktsegment",
     )
 
 
@@ -139,3 +149,28 @@ def ingested_documents(t):
     """Chunk, embed, write, number; what was written."""
     table = ingest_rows(t.documents, "doc_id", "text", scratch_path(t.spark, "documents"), keep=["source"])
     return output_stats(table, "text")
+
+
+@query(LAST_VALUE.format(where=""))
+def push_sql_view(t):
+    """A push goes through the view's SQL transform."""
+    view = activity(t, transform=lambda rows: f"select user_id, value * 2 as value, ts from {rows}", mode="sql")
+    space = space_of(t, view)
+    space.push(["activity"], t.events.select("user_id", (F.col("value") / 2).alias("value"), "ts"))
+    return space.online("activity").read(t.spark).select("user_id", "value", "ts")
+
+
+@query(
+    """
+    select event_type, cast(ts as date) as day, count(*) as rows, count(value) as present from events group by all
+    """
+)
+def partitioned_feature_log(t):
+    """A feature log written by date and read back from its partitions."""
+    path = scratch_path(t.spark, "log")
+    log = feature_log(t.events, "activity", ["user_id", "event_type"], ["value"], "ts", "ts", "event_id")
+    write_feature_log(log, path, ["__log_date"])
+    back = t.spark.read.parquet(path)
+    return back.groupBy("event_type", F.col("__log_date").alias("day")).agg(
+        F.count("*").alias("rows"), F.count_if(F.col("activity__value__status") == "PRESENT").alias("present")
+    )

@@ -1,7 +1,8 @@
 """Structured Streaming over the events table, run until all input is read."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregate import Aggregation
@@ -9,6 +10,7 @@ from tidemark.plans.views import View
 from tidemark.plans.workspace import Workspace
 from tidemark.session import scratch_path
 from tidemark.sources.read import BatchSource, decode, read_file_stream
+from tidemark.sources.write import read_batches
 from tidemark.streaming.ingest import ingest, stream_aggregate, stream_tiles, windows_from_stream, write_stream
 
 from . import near, query
@@ -119,3 +121,58 @@ def stream_tiled(t):
     return out.withColumns(
         {"window_end": F.col("window_end").cast("timestamp_ntz"), "avg_value_86400s": near("avg_value_86400s", 4)}
     )
+
+
+NEWEST = "select user_id, value, ts from events qualify row_number() over (partition by user_id order by ts desc) = 1"
+HALF = datetime(2024, 1, 15)
+
+
+def _space(t):
+    view = View("activity", ("user_id",), ("value",), BatchSource(frame=t.events), ts="ts", online=True, offline=True)
+    return Workspace(t.spark, scratch_path(t.spark, "stream"), [view])
+
+
+@query(NEWEST)
+def stream_after_materialize(t):
+    """A stream after a materialised range; neither overwrites the other's rows."""
+    space = _space(t)
+    space.materialize(HALF, datetime(2100, 1, 1))
+    older = event_stream(t).filter(F.col("ts") < F.lit(HALF))
+    finish(ingest(space, "activity", older, to="online_and_offline"))
+    return space.online("activity").read(t.spark).select("user_id", "value", "ts")
+
+
+@query("select event_type, count(distinct user_id) as rows from events group by 1 union all select 'online', count(distinct user_id) from events")
+def stream_new_checkpoint(t):
+    """Streams with checkpoints of their own into one view: all their rows are kept."""
+    space = _space(t)
+    kinds = sorted(r[0] for r in t.events.select("event_type").distinct().collect())
+    for kind in kinds:  # the event types, a handful
+        rows = event_stream(t).filter(F.col("event_type") == kind)
+        place = scratch_path(t.spark, f"checkpoint-{kind}")
+        finish(ingest(space, "activity", rows, to="online_and_offline", checkpoint=place))
+    stored = read_batches(t.spark, space.offline_path("activity"))
+    per_stream = stored.groupBy("batch_writer").agg(F.count("*").alias("rows"))
+    newest = t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("rows"))
+    n = per_stream.count()
+    if n != len(kinds):
+        raise AssertionError(f"{n} streams are stored")
+    ranked = lambda df, by: df.withColumn("at", F.row_number().over(Window.orderBy("rows", by)))
+    both = ranked(per_stream, "batch_writer").drop("batch_writer").join(ranked(newest, "event_type").drop("rows"), "at")
+    online = space.online("activity").read(t.spark).agg(F.lit("online").alias("event_type"), F.count("*").alias("rows"))
+    return both.select("event_type", "rows").unionByName(online)
+
+
+@query(NEWEST)
+def stream_many_batches(t):
+    """A file per micro-batch, newest first, so later batches are late."""
+    place = scratch_path(t.spark, "files")
+    parts = t.events.withColumn("late", F.when(F.col("ts") >= F.lit(HALF), 0).otherwise(1))
+    for late in (0, 1):
+        parts.filter(F.col("late") == late).drop("late").repartition(2).write.mode("append").parquet(place)
+    space = _space(t)
+    finish(ingest(space, "activity", read_file_stream(t.spark, place, t.events.schema, files_per_batch=1)))
+    batches = space.online("activity").batches(t.spark).select("batch_number").distinct().count()
+    if batches != 4:
+        raise AssertionError(f"{batches} micro-batches")
+    return space.online("activity").read(t.spark).select("user_id", "value", "ts")

@@ -31,17 +31,34 @@ DDL = "k int, event_timestamp timestamp, v int"
 
 def test_latest_table_ignores_older_and_replayed(spark, tmp_path):
     table = LatestTable(str(tmp_path / "t"), ("k",), "event_timestamp")
-    assert table.next_batch(spark) == 0
-    table.upsert(small(spark, [(1, at(1), 10), (2, at(1), 20), (2, at(2), 21)], DDL), 0)
-    assert table.next_batch(spark) == 1
+    table.upsert(small(spark, [(1, at(1), 10), (2, at(1), 20), (2, at(2), 21)], DDL), 0, "stream")
     second = small(spark, [(1, at(0), 99), (2, at(2), 98), (3, at(5), 30)], DDL)
-    table.upsert(second, 1)
+    table.upsert(second, 1, "stream")
     want = [(1, 10), (2, 21), (3, 30)]
     assert rows(table.read(spark), "k", "v") == want
-    table.upsert(second, 1)  # a replay
+    table.upsert(second, 1, "stream")  # a replay
     assert spark.read.parquet(table.path).count() == 5 and rows(table.read(spark), "k", "v") == want
-    fresh = table.compact(spark, str(tmp_path / "u"))
-    assert spark.read.parquet(fresh.path).count() == 3 and rows(fresh.read(spark), "k", "v") == want
+    table.compact(spark)
+    assert table.batches(spark).count() == 3 and rows(table.read(spark), "k", "v") == want
+    table.upsert(small(spark, [(1, at(9), 11)], DDL))
+    assert table.batches(spark).count() == 4 and rows(table.read(spark), "k", "v") == [(1, 11), *want[1:]]
+    table.compact(spark)
+    assert table.batches(spark).count() == 3
+    plan = table.batches(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and len(table.batches(spark).select("batch_writer").distinct().collect()) == 1
+
+
+def test_writers_leave_each_other_alone(spark, tmp_path):
+    view = View("act", ("k",), ("v",), source(spark, [(1, at(0), 1), (2, at(0), 2)]))
+    space = Workspace(spark, str(tmp_path), [view])
+    one = lambda k: small(spark, [(k, at(0), k)], DDL)
+    space.write_view(one(3), "act", "online_and_offline", 0, "stream-a")
+    space.write_view(one(4), "act", "online_and_offline", 0, "stream-b")
+    space.materialize(at(0), at(1))
+    space.push(["act"], one(5), "online_and_offline")
+    space.push(["act"], one(6), "online_and_offline")
+    assert [r[0] for r in rows(space.online("act").read(spark), "k")] == [1, 2, 3, 4, 5, 6]
+    assert [r[0] for r in rows(space.offline("act"), "k")] == [3, 4, 5, 6]
 
 
 def test_offline_append_checks_and_casts(spark, tmp_path):
@@ -68,7 +85,8 @@ def test_saved_dataset_and_export(spark, tmp_path):
     with pytest.raises(AnalysisException):
         save_dataset(df, "saved", "event_timestamp", str(tmp_path / "d"))
     save_dataset(df, "saved", "event_timestamp", str(tmp_path / "d"), allow_overwrite=True)
-    assert all(f.endswith(".parquet") for f in export_parquet(df, str(tmp_path / "e")))
+    files = export_parquet(df, str(tmp_path / "e")).collect()
+    assert all(f["file"].endswith(".parquet") for f in files) and sum(f["rows"] for f in files) == 2
 
 
 def test_feature_log_partitions(spark, tmp_path):

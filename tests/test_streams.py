@@ -48,7 +48,7 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     space = Workspace(spark, str(tmp_path), [view])
     batch = small(spark, [(1, at(1), 1.0)], DDL)
     for _ in range(2):
-        space.write_view(batch, "act", "online_and_offline", batch=4)
+        space.write_view(batch, "act", "online_and_offline", 4, "stream")
     assert space.offline("act").count() == 1 and space.online("act").read(spark).count() == 1
 
 

@@ -83,27 +83,35 @@ class View:
                 if p.name not in memo:
                     memo[p.name] = p.build(spark, start, end, memo)
             inputs = [memo[p.name] for p in self.parents()]
-        if self.transform is not None:
-            out = _apply(self.transform, self.mode, self.name, inputs, spark)
-        elif len(inputs) == 1:
-            out = inputs[0]
-        else:
-            out = join_views({p.name: memo[p.name] for p in self.parents()}, list(self.keys), self.how)
-        return filter_expr(out, self.where)
+        if self.transform is None and len(inputs) > 1:
+            inputs = [join_views({p.name: memo[p.name] for p in self.parents()}, list(self.keys), self.how)]
+        return filter_expr(self.transformed(inputs, spark), self.where)
+
+    def transformed(self, inputs: list[DataFrame], spark: SparkSession) -> DataFrame:
+        """The view's transform of its inputs; without one, its single input."""
+        return inputs[0] if self.transform is None else _apply(self.transform, self.mode, self.name, inputs, spark)
 
     def build(self, spark: SparkSession, start=None, end=None, memo: dict | None = None) -> DataFrame:
         """Source → transform or join → filter → aggregate or latest row → projection."""
         out = self.rows(spark, start, end, memo)
         if self.aggregations:
-            specs = list(self.aggregations)
-            if self.hop:
-                return aggregate_tiled(out, list(self.keys), specs, self.ts, self.hop, latest_only=True, ts_as=self.ts)
-            return aggregate(out, list(self.keys), specs, self.ts)
+            return self.check(self.aggregated(out, latest_only=True))
         if self.ts in out.columns:
             out = latest_per_key(out, list(self.keys), self.ts, self.created, [self.tie] if self.tie else [])
         named = dict.fromkeys([*self.keys, *self.features, self.ts, self.created])
         return self.check(out.select(*[c for c in named if c in out.columns or c in self.features]))
 
+    def aggregated(self, rows: DataFrame, latest_only: bool = False) -> DataFrame:
+        """The window aggregates of the view's rows; tiled ones of every hop unless only the latest is asked for."""
+        specs, keys = list(self.aggregations), list(self.keys)
+        if self.hop:
+            return aggregate_tiled(rows, keys, specs, self.ts, self.hop, latest_only=latest_only, ts_as=self.ts)
+        return aggregate(rows, keys, specs, self.ts)
+
+    def provides(self) -> tuple[str, ...]:
+        """Names that may be asked for: the declared features, or the outputs of the aggregations."""
+        return tuple(dict.fromkeys((*self.features, *(a.output for a in self.aggregations))))
+
     def check(self, df: DataFrame) -> DataFrame:
         """Raise on a failed declared check (runs one job when there are any)."""
         if self.schema is not None:
@@ -117,8 +125,19 @@ class View:
     def side(
         self, spark: SparkSession, features: list[str], full_names: bool, start=None, end=None, memo: dict | None = None
     ) -> Side:
-        """This view as the feature side of a point-in-time join."""
-        df = self.rows(spark, start, end, memo).withColumnsRenamed(self.key_map)
+        """This view as the feature side of a point-in-time join.
+
+        A view of window aggregates gives a row per key and window, valid from the
+        window's end on.
+        """
+        df = self.rows(spark, start, end, memo)
+        if self.aggregations:
+            if not self.hop and any(a.time_window is None for a in self.aggregations):
+                raise ValueError(f"view {self.name}: aggregates without a time window have no past values")
+            df = self.aggregated(df)
+            if not self.hop:
+                df = df.drop("window_start").withColumnRenamed("window_end", self.ts)
+        df = df.withColumnsRenamed(self.key_map)
         keys = tuple(self.key_map.get(k, k) for k in self.keys)
         names = {f: f"{self.label}__{f}" if full_names else f for f in features}
         return Side(df, keys, self.ts, names, self.ttl, self.created, self.tie)

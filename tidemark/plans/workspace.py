@@ -9,12 +9,13 @@ from datetime import datetime, timedelta
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.asof import asof_join, entity_time_column, entityless_join
 from ..operators.joins import lookup
 from ..operators.latest import pull_latest
 from ..operators.project import conform
-from ..sources.write import LatestTable
+from ..sources.write import LatestTable, new_writer, read_batches, write_batch
 from .views import OnDemandView, Service, View, resolve
 
 PUSH_TARGETS = ("online", "offline", "online_and_offline")
@@ -44,40 +45,33 @@ class Workspace:
     def offline_path(self, view: str) -> str:
         return os.path.join(self.root, "offline", view)
 
-    def write_view(self, df: DataFrame, view: str, to: str = "online", batch: int | None = None) -> None:
+    def write_view(
+        self, df: DataFrame, view: str, to: str = "online", batch: int = 0, writer: str | None = None
+    ) -> None:
         """Write rows to the view's online and/or offline table.
 
-        With a batch id, writing the same batch again changes nothing, and the
-        caller vouches for the columns; otherwise they are checked against the table.
+        A ``writer`` that numbers its batches, such as a stream, may write one again
+        without effect, and vouches for the columns. Without one the rows are a batch
+        of their own and are checked against the table.
         """
         if to not in PUSH_TARGETS:
             raise ValueError(f"unknown target {to!r}")
         if to != "offline":
-            table = self.online(view)
-            table.upsert(df, table.next_batch(self.spark) if batch is None else batch)
+            self.online(view).upsert(df, batch, writer)
         if to != "online":
             path = self.offline_path(view)
-            if batch is None:
-                batch = self._next(path)
-                if batch:  # the first write defines the table
-                    df = conform(df, self._stored(path).schema)
-            (
-                df.withColumn("ingest_batch", F.lit(batch).cast("long"))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("ingest_batch")
-                .parquet(path)
-            )
+            if writer is None and (schema := self._schema(path)):  # the first write defines the table
+                df = conform(df, schema)
+            write_batch(df, path, writer or new_writer(), batch)
 
-    def _stored(self, path: str) -> DataFrame:
-        return self.spark.read.parquet(path).drop("ingest_batch")
-
-    def _next(self, path: str) -> int:
+    def _schema(self, path: str) -> StructType | None:
         try:
-            last = self.spark.read.parquet(path).agg(F.max("ingest_batch")).first()[0]
+            return self._stored(path).schema
         except AnalysisException:
-            return 0
-        return 0 if last is None else last + 1
+            return None
+
+    def _stored(self, path: str) -> DataFrame:
+        return read_batches(self.spark, path).drop("batch_writer", "batch_number")
 
     def offline(self, view: str) -> DataFrame:
         return self._stored(self.offline_path(view))
@@ -108,7 +102,7 @@ class Workspace:
                 demanded.setdefault(view, []).append(feature)
                 shown.append(feature)
             elif view in self.views:
-                if feature not in self.views[view].features:
+                if feature not in self.views[view].provides():
                     raise ValueError(f"view {view} has no feature {feature}")
                 wanted.setdefault(view, []).append(feature)
                 shown.append(f"{view}__{feature}" if full_names else feature)
@@ -204,7 +198,7 @@ class Workspace:
             entity = part if entity is None else entity.unionByName(part, allowMissingColumns=True)
         entity = entity.distinct()
         joined = self.historical(list(view.sources), entity)
-        self.online(name).upsert(view.apply(joined), self.online(name).next_batch(self.spark))
+        self.online(name).upsert(view.apply(joined))
 
     def _state_path(self) -> str:
         return os.path.join(self.root, "materialized_ranges")
@@ -222,13 +216,13 @@ class Workspace:
 
     # -- push ----------------------------------------------------------------------
 
-    def push(self, source_views: list[str], df: DataFrame, to: str = "online", batch: int | None = None) -> None:
-        """Write a caller's batch to every view fed by a push source."""
+    def push(self, source_views: list[str], df: DataFrame, to: str = "online") -> None:
+        """Write a caller's rows to every view fed by a push source, through the view's transform."""
         for name in source_views:
             v = self.views[name]
-            rows = df.transform(v.transform) if v.transform and v.mode == "spark" else df
+            rows = v.transformed([df], self.spark)
             columns = [*v.keys, *v.features, v.ts, *([v.created] if v.created else [])]
-            self.write_view(rows.select(*columns), name, to, batch)
+            self.write_view(rows.select(*columns), name, to)
 
 
 def aliased(view: View, alias: str, key_map: dict[str, str]) -> View:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import ts_range
@@ -41,10 +44,11 @@ def save_dataset(df: DataFrame, name: str, ts: str, path: str | None = None, all
     return ts_range(stored, ts).select(F.lit(name).alias("name"), "min_ts", "max_ts")
 
 
-def export_parquet(df: DataFrame, uri: str) -> list[str]:
-    """Write to staged parquet and list the files."""
+def export_parquet(df: DataFrame, uri: str) -> DataFrame:
+    """Write to staged parquet; returns the files (file, rows), read from what was written."""
     df.write.mode("errorifexists").parquet(uri)
-    return df.sparkSession.read.parquet(uri).inputFiles()
+    written = df.sparkSession.read.parquet(uri)
+    return written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def feature_log(
@@ -88,14 +92,47 @@ def merge_latest(updates: DataFrame, table: str, keys: list[str], ts: str) -> No
     rows.alias("source").mergeInto(table, F.expr(same)).whenMatched(newer).updateAll().whenNotMatched().insertAll().merge()
 
 
+def new_writer() -> str:
+    """A name no other writer has."""
+    return f"w{uuid.uuid4().hex}"
+
+
+def write_batch(df: DataFrame, path: str, writer: str, batch: int) -> None:
+    """Write rows as one partition named by who writes and by the writer's own batch number.
+
+    Writing a batch again replaces just that partition, so a replay changes nothing
+    and no two writers touch each other's rows.
+    """
+    named = df.withColumn("batch_writer", F.lit(writer)).withColumn("batch_number", F.lit(batch).cast("long"))
+    (
+        named.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_writer", "batch_number")
+        .parquet(path)
+    )
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", False).parquet(path).withColumn("batch_writer", F.col("batch_writer").cast("string"))
+
+
+def _among(partitions: list[Row]) -> Column:
+    """Whether a row lies in one of the partitions; a filter that prunes folders."""
+    numbers: dict[str, list[int]] = {}
+    for writer, number in partitions:
+        numbers.setdefault(writer, []).append(number)
+    parts = [(F.col("batch_writer") == w) & F.col("batch_number").isin(n) for w, n in numbers.items()]
+    return reduce(or_, parts, F.lit(False))
+
+
 @dataclass(frozen=True)
 class LatestTable:
     """A latest-value table on parquet.
 
-    Each upsert adds one small partition named by its batch id; writing a batch
-    again replaces that partition, so a replayed micro-batch changes nothing.
-    Reading keeps the newest row per key. ``compact`` writes the current state
-    elsewhere, for a fresh table to go on from.
+    Each upsert adds one small partition, see ``write_batch``; several streams,
+    pushes and materialisations may write at once. Reading keeps the newest row
+    per key. ``compact`` puts the current state into one partition and lists the
+    partitions it stands for, which reads then pass over.
     """
 
     path: str
@@ -103,30 +140,39 @@ class LatestTable:
     ts: str
     created: str | None = None
 
-    def upsert(self, df: DataFrame, batch: int) -> None:
+    def upsert(self, df: DataFrame, batch: int = 0, writer: str | None = None) -> None:
+        """Write the newest row per key of ``df``; a stream gives its own id and its batch number."""
         rows = latest_per_key(df, list(self.keys), self.ts, self.created)
-        (
-            rows.withColumn("upsert_batch", F.lit(batch).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("upsert_batch")
-            .parquet(self.path)
-        )
+        write_batch(rows.withColumn("batch_time", F.current_timestamp()), self.path, writer or new_writer(), batch)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        rows = spark.read.parquet(self.path)
-        # among equal event times the batch that came first stands
-        order = [F.desc(self.ts), F.asc("upsert_batch")] + ([F.desc(self.created)] if self.created else [])
-        return top_rows(rows, list(self.keys), order).drop("upsert_batch")
-
-    def next_batch(self, spark: SparkSession) -> int:
+    def batches(self, spark: SparkSession) -> DataFrame:
+        """All rows in force; partitions that a compaction stands for are not scanned."""
+        rows = read_batches(spark, self.path)
         try:
-            last = spark.read.parquet(self.path).agg(F.max("upsert_batch")).first()[0]
+            listed = spark.read.parquet(f"{self.path}-replaced").distinct().collect()
         except AnalysisException:
-            return 0
-        return 0 if last is None else last + 1
+            return rows
+        return rows.filter(~_among(listed))
 
-    def compact(self, spark: SparkSession, path: str) -> LatestTable:
-        fresh = LatestTable(path, self.keys, self.ts, self.created)
-        fresh.upsert(self.read(spark), 0)
-        return fresh
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._newest(self.batches(spark)).drop("batch_writer", "batch_number", "batch_time")
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        # among equal event times the row that was written first stands
+        order = [F.desc(self.ts), F.asc("batch_time"), F.asc("batch_number")] + ([F.desc(self.created)] if self.created else [])
+        return top_rows(rows, list(self.keys), order)
+
+    def compact(self, spark: SparkSession) -> None:
+        """Fold all partitions in force into one; batches written meanwhile stay as they are.
+
+        The new partition is written before the old ones are listed, and holds no
+        value they lack, so a crash in between changes no answer.
+        """
+        rows = self.batches(spark)
+        seen = rows.select("batch_writer", "batch_number").distinct().collect()  # names of partitions, not rows
+        if not seen:
+            return
+        state = self._newest(rows.filter(_among(seen))).drop("batch_writer", "batch_number")
+        write_batch(state, self.path, new_writer(), 0)
+        listed = spark.createDataFrame([tuple(r) for r in seen], "batch_writer string, batch_number long")
+        listed.coalesce(1).write.mode("append").parquet(f"{self.path}-replaced")

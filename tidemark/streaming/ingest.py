@@ -15,6 +15,7 @@ from ..operators.latest import latest_per_key
 from ..operators.project import to_utc
 from ..operators.tiles import build_tiles, merge_tiles, windowed_from_tiles
 from ..plans.workspace import Workspace
+from ..sources.write import read_batches, write_batch
 
 
 def _start(
@@ -26,6 +27,11 @@ def _start(
     return writer.start()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave the stream of a checkpoint; it outlives restarts, a new checkpoint has another."""
+    return spark.read.schema("id string").json(os.path.join(checkpoint, "metadata")).first()["id"]
+
+
 def ingest(
     workspace: Workspace,
     view: str,
@@ -39,18 +45,21 @@ def ingest(
     """Keep a view's tables up to date from a stream.
 
     Every micro-batch is transformed, reduced to its newest row per key, stamped
-    with the time of writing and written under its batch id, so a replay after a
-    failure leaves the same tables. Rows not newer than the stored ones lose.
+    with the time of writing and written under the stream's id and its batch
+    number, so a replay after a failure leaves the same tables and other streams,
+    pushes and materialisations are left alone. Rows not newer than the stored ones
+    lose.
     """
     v = workspace.views[view]
     columns = [*v.keys, *v.features, v.ts]
     rows = transform(stream) if transform else stream
+    place = checkpoint or os.path.join(workspace.root, "checkpoints", view)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = latest_per_key(batch.select(*columns), list(v.keys), v.ts)
-        workspace.write_view(newest.withColumn(created, F.current_timestamp()), view, to, batch_id)
+        stamped = newest.withColumn(created, F.current_timestamp())
+        workspace.write_view(stamped, view, to, batch_id, stream_id(workspace.spark, place))
 
-    place = checkpoint or os.path.join(workspace.root, "checkpoints", view)
     return _start(rows, write, place, every)
 
 
@@ -87,26 +96,19 @@ def stream_tiles(
     stream: DataFrame, keys: list[str], specs: list[Aggregation], ts: str, hop: timedelta, path: str,
     checkpoint: str, every: str | None = None,
 ) -> StreamingQuery:
-    """Reduce each micro-batch to tiles, written under the batch id.
+    """Reduce each micro-batch to tiles, written under the stream's id and its batch number.
 
     Tiles merge, so late rows just add a tile to an old hop and need no state.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            build_tiles(batch, keys, specs, ts, hop)
-            .withColumn("tile_batch", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("tile_batch")
-            .parquet(path)
-        )
+        write_batch(build_tiles(batch, keys, specs, ts, hop), path, stream_id(batch.sparkSession, checkpoint), batch_id)
 
     return _start(stream, write, checkpoint, every)
 
 
 def read_tiles(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    return merge_tiles(spark.read.parquet(path).drop("tile_batch"), keys)
+    return merge_tiles(read_batches(spark, path).drop("batch_writer", "batch_number"), keys)
 
 
 def windows_from_stream(
