@@ -54,9 +54,10 @@ class IdsOf:
 
     def __call__(self, text: str) -> bytes:
         words = self.cut(text)
-        new = set(words) - self.known.keys()
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = set(words)
-        self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
+        known = self.known
+        new = [w for w in set(words) if w not in known]
+        if len(known) + len(new) > WORDS_KEPT:
+            known.clear()
+            new = list(set(words))
+        self.learn(new)
+        return b"".join(map(known.__getitem__, words))
