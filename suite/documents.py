@@ -304,3 +304,20 @@ def conversation_context(t):
 def bm25_by_join(t):
     """The path for query sets whose term matrix is too big to broadcast."""
     return _bm25(t, "any", matrix_bytes=0)
+
+
+SQL_REPEATED = sql_bm25("").replace("order by distance, doc_id)", "order by distance, doc_id // 2)")
+SQL_REPEATED = SQL_REPEATED.replace("select item_id, doc_id, rank,", "select path, item_id, doc_id // 2 as doc_id, rank,")
+SQL_REPEATED = SQL_REPEATED.replace("from r where", "from r, (select unnest(['matrix', 'join']) as path) where")
+
+
+@query(SQL_REPEATED)
+def bm25_repeated_ids(t):
+    """Rows that share a document id are documents of their own, on either path."""
+    docs = t.documents.withColumn("doc_id", F.floor(F.col("doc_id") / 2))
+    out = None
+    for path, how in (("matrix", {}), ("join", {"matrix_bytes": 0})):
+        part = bm25(docs, "doc_id", ["text", "lang"], t.benchmark, "item_id", "text", 5, "any", **how)
+        part = part.withColumns({"distance": near("distance", 5), "path": F.lit(path)})
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1,12 +1,15 @@
 """Point-in-time retrieval and latest values."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.aggregate import Aggregation
 from tidemark.operators.asof import Side, asof_join, entityless_join
 from tidemark.operators.joins import attach_label, join_aggregates, join_views, lookup
 from tidemark.operators.latest import first_per_key, latest_per_key, pull_latest
+from tidemark.operators.quality import Check, ValidationError
 from tidemark.plans.views import OnDemandView, View
 from tidemark.plans.workspace import Workspace, aliased
 from tidemark.session import scratch_path
@@ -429,3 +432,60 @@ def labelled_events(t):
     events = t.events.select("event_id", "user_id", "ts", "value")
     labels = t.labels.select(F.col("doc_id").alias("event_id"), "quality").join(events.select("event_id", "ts"), "event_id")
     return attach_label(events, labels, ["event_id"], "ts", "quality")
+
+
+@query(
+    """
+    select event_id, case when event_id % 3 = 0 then null else 9007199254740993 + event_id end as wide,
+        case when event_id % 4 = 0 then 'NaN'::double when event_id % 4 = 1 then null else value end as rough,
+        round(1e-9 + value + 1, 6) as boosted
+    from events
+    """
+)
+def on_demand_exact(t):
+    """A pandas function reads its declared input; long ids, nulls and NaN beside it stay as they are."""
+    e = F.col("event_id")
+    rows = t.events.select(
+        "event_id",
+        F.when(e % 3 != 0, F.lit(9007199254740993) + e).alias("wide"),
+        F.when(e % 4 == 0, F.lit(float("nan"))).when(e % 4 != 1, F.col("value")).alias("rough"),
+        "value",
+        "props",
+    )
+    view = OnDemandView("boost", (), lambda df: (df["value"] + 1).to_frame("boosted"), "boosted double", inputs=("value",))
+    out = view.apply(rows).select("event_id", "wide", "rough", near("boosted", 6).alias("boosted"))
+    if "props" in out._jdf.queryExecution().executedPlan().toString():
+        raise AssertionError("an unused column is read")
+    return out
+
+
+@query(
+    sql_asof(
+        "select user_id, day + interval 1 day as ts, total, n from (select user_id, date_trunc('day', ts) as day, "
+        "round(1e-9 + sum(value), 4) as total, count(value) as n from events group by all)",
+        "total as sum_value_86400s, n as count_value_86400s",
+        "e.user_id = f.user_id and f.ts <= e.as_of and f.ts >= e.as_of - interval 3 day",
+    )
+)
+def historical_aggregate_view(t):
+    """Daily aggregates of a view as of each purchase: the last finished day within three."""
+    day = timedelta(days=1)
+    specs = (Aggregation("value", "sum", day), Aggregation("value", "count", day))
+    view = View("daily", ("user_id",), (), BatchSource(frame=t.events), ts="ts", ttl=3 * day, aggregations=specs)
+    space = Workspace(t.spark, "", [view])
+    out = space.historical(["daily:sum_value_86400s", "daily:count_value_86400s"], purchases(t))
+    return out.withColumn("sum_value_86400s", near("sum_value_86400s", 4))
+
+
+@query("select user_id, count(*) as count_value, true as refused from events group by 1")
+def view_checks_after_aggregate(t):
+    """Checks see the aggregated rows; one that fails stops the build."""
+    specs = (Aggregation("value", "count", name="count_value"),)
+    view = View("totals", ("user_id",), (), BatchSource(frame=t.events.fillna(0.0, ["value"])), ts="ts", aggregations=specs)
+    good = replace(view, checks=(Check("between", "count_value", 1, 10**9),)).build(t.spark)
+    refused = False
+    try:
+        replace(view, checks=(Check("between", "count_value", 0, 0),)).build(t.spark)
+    except ValidationError:
+        refused = True
+    return good.withColumn("refused", F.lit(refused))

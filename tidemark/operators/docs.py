@@ -11,7 +11,6 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..session import spread_small
 from .skew import running_totals
@@ -105,14 +104,13 @@ def embed(df: DataFrame, text: str, model: Model | None = None, name: str = "emb
         unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
         return unit.withColumn(name, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = model()
-        for batch in batches:
-            vectors = encode(batch[text].fillna("").tolist())
-            yield batch.assign(**{name: [[float(x) for x in v] for v in vectors]})
+        for texts in batches:
+            yield pd.Series([[float(x) for x in v] for v in encode(texts.fillna("").tolist())])
 
-    schema = StructType([*df.schema.fields, StructField(name, ArrayType(FloatType()))])
-    return df.mapInPandas(run, schema)
+    return df.withColumn(name, run(F.col(text)))
 
 
 def build_context(

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,15 +69,34 @@ def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
 
 
 def postings(df: DataFrame, doc: str, text: Column, vocabulary: DataFrame) -> DataFrame:
-    """(document, length, term, tf) for the terms in ``vocabulary`` only.
+    """(document, row, length, term, tf) for the terms in ``vocabulary`` only.
 
-    Words that no query asks for are dropped by the join before anything is
-    shuffled, and counts are combined per task first.
+    Words are counted within their row, so nothing is shuffled for it; ``row`` tells
+    rows of equal document id apart.
     """
-    words = df.select(doc, tokens(text).alias("_w")).select(
-        doc, F.size("_w").alias("length"), F.explode("_w").alias("term")
-    )
-    return words.join(vocabulary, "term", "left_semi").groupBy(doc, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = df.select(F.col(doc), tokens(text).alias("_w"))
+    ddl = f"`{doc}` {df.schema[doc].dataType.simpleString()}, row long, length int, term string, tf long"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            out = []
+            for found in batch.column(1).to_pylist():
+                counts = Counter(found or ())
+                out.append((row, len(found or ()), list(counts), list(counts.values())))
+                row += 1
+            sizes = [len(o[2]) for o in out]
+            columns = [
+                batch.column(0).take(pa.array(np.repeat(np.arange(len(out)), sizes))),
+                pa.array(np.repeat([o[0] for o in out], sizes)),
+                pa.array(np.repeat([o[1] for o in out], sizes).astype("int32")),
+                pa.array([t for o in out for t in o[2]], pa.string()),
+                pa.array([n for o in out for n in o[3]], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return words.mapInArrow(run, ddl).join(vocabulary, "term", "left_semi")
 
 
 def _query_matrix(asked: DataFrame, qid: str, limit: int):
@@ -93,18 +115,31 @@ def _query_matrix(asked: DataFrame, qid: str, limit: int):
 
 
 def _bags(df: DataFrame, doc: str, text: Column, terms: dict[str, int]) -> DataFrame:
-    """Per document its length and the numbers of its words that some query asks for.
+    """Per row its length and the numbers of its words that some query asks for.
 
-    A document's words are put together again within the task that split them, so
-    the shuffle carries one short row per document.
+    The words are looked up batch by batch where the rows lie; nothing is shuffled
+    and every row stays a document of its own.
     """
-    spark = df.sparkSession
-    table = spark.createDataFrame(list(terms.items()), "term string, number int")
     rows = spread_small(df.select(doc, text.alias("_text"))).select(doc, tokens("_text").alias("_w"))
-    words = rows.select(doc, F.size("_w").alias("length"), F.explode_outer("_w").alias("term"))
-    # the term table is bounded by the check of the query matrix
-    numbered = words.join(F.broadcast(table), "term", "left")
-    return numbered.groupBy(doc, "length").agg(F.collect_list("number").alias("words"))
+    # bounded by the check of the query matrix
+    sent = df.sparkSession.sparkContext.broadcast(list(terms))
+    ddl = f"`{doc}` {df.schema[doc].dataType.simpleString()}, length int, words array<int>"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(sent.value, pa.string())
+        for batch in batches:
+            words = batch.column(1)
+            length = np.nan_to_num(words.value_lengths().to_numpy(zero_copy_only=False)).astype("int32")
+            flat = pc.index_in(words.flatten(), value_set=wanted)
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            per_row = np.bincount(np.repeat(np.arange(len(length)), length)[known], minlength=len(length))
+            ends = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype("int32"))
+            found = pa.ListArray.from_arrays(ends, flat.drop_null().cast(pa.int32()))
+            columns = (batch.column(0), pa.array(length), found)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return rows.mapInArrow(run, ddl)
 
 
 def _score_bags(
@@ -204,7 +239,7 @@ def bm25(
 
 def _bm25_join(df: DataFrame, doc: str, text: Column, asked: DataFrame, qid: str, match: str) -> DataFrame:
     """The same by joining postings with the queries' terms."""
-    found = postings(df, doc, text, asked.select("term"))
+    found = postings(df, doc, text, asked.select("term").distinct())
     corpus = df.select(F.size(tokens(text)).alias("n")).agg(
         F.struct(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("length"))
     ).scalar()
@@ -217,7 +252,7 @@ def _bm25_join(df: DataFrame, doc: str, text: Column, asked: DataFrame, qid: str
     )
     scored = (
         found.join(weighted, "term")
-        .groupBy(qid, doc)
+        .groupBy(qid, doc, "row")
         .agg(F.sum(part).alias("_score"), F.count(F.lit(1)).alias("_hit"), F.first("n_terms").alias("_want"))
     )
     if match == "all":
@@ -233,10 +268,10 @@ def match_all(
     asked = query_terms(queries, qid, query_text)
     known = _query_matrix(asked, qid, matrix_bytes)
     if known is None:
-        found = postings(df, doc, joined_text(columns), asked.select("term"))
+        found = postings(df, doc, joined_text(columns), asked.select("term").distinct())
         hits = (
             found.join(asked, "term")
-            .groupBy(qid, doc)
+            .groupBy(qid, doc, "row")
             .agg(
                 (F.sum("tf") / F.first("length")).alias("_share"),
                 F.count(F.lit(1)).alias("_hit"),

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from datetime import timedelta
-from typing import Any, Callable, Iterator
+from typing import Any, Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.aggregate import Aggregation, aggregate
@@ -182,8 +183,10 @@ class OnDemandView:
 
     ``mode``: ``spark`` (DataFrame in and out), ``pandas`` (a function of batches)
     or ``python`` (dict of lists, or dict of values with ``singleton``).
-    ``outputs`` is the DDL of the new columns. With ``aggregations`` the result is
-    grouped by ``group_by``.
+    ``outputs`` is the DDL of the new columns. ``inputs`` are the columns a pandas or
+    python function reads (all when not given); nothing else leaves the JVM, so all
+    other columns stay as they are. With ``aggregations`` the result is grouped by
+    ``group_by``.
     """
 
     name: str
@@ -195,6 +198,7 @@ class OnDemandView:
     keys: tuple[str, ...] = ()
     aggregations: tuple[Aggregation, ...] = ()
     group_by: tuple[str, ...] = ()
+    inputs: tuple[str, ...] = ()
 
     def apply(self, df: DataFrame) -> DataFrame:
         out = self._transformed(df)
@@ -207,24 +211,25 @@ class OnDemandView:
     def _transformed(self, df: DataFrame) -> DataFrame:
         if self.mode == "spark":
             return self.fn(df)
-        added = StructType.fromDDL(self.outputs)
-        schema = StructType([*df.schema.fields, *added.fields])
-        fn, mode, singleton, names = self.fn, self.mode, self.singleton, added.names
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if mode == "pandas":
-                    made = fn(batch)
-                elif singleton:
-                    made = pd.DataFrame([fn(r) for r in batch.to_dict("records")], columns=names)
-                else:
-                    made = pd.DataFrame(fn(batch.to_dict("list")))
-                made.index = batch.index
-                yield pd.concat([batch, made[names]], axis=1)
-
-        if mode not in ("pandas", "python"):
-            raise ValueError(f"unknown on-demand mode {mode!r}")
-        return df.mapInPandas(run, schema)
+        if self.mode not in ("pandas", "python"):
+            raise ValueError(f"unknown on-demand mode {self.mode!r}")
+        fn, mode, singleton = self.fn, self.mode, self.singleton
+        made = StructType.fromDDL(self.outputs)
+        names = made.names
+
+        @F.pandas_udf(made)
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            if mode == "pandas":
+                out = fn(batch)
+            elif singleton:
+                out = pd.DataFrame([fn(r) for r in batch.to_dict("records")], columns=names)
+            else:
+                out = pd.DataFrame(fn(batch.to_dict("list")))
+            return out[names].reset_index(drop=True)
+
+        given = [F.col(f"`{c}`") for c in (self.inputs or df.columns)]
+        with_made = df.withColumn("_made", run(F.struct(*given)))
+        return with_made.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col(f"_made.`{n}`") for n in names])
 
 
 @dataclass(frozen=True)

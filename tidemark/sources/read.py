@@ -88,13 +88,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
     return spark.read.jdbc(url, table, properties=properties or {}, **ranges)
 
 
-def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None) -> DataFrame:
+def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Simplest type that fits every non-blank value: INTEGER, FLOAT, TIMESTAMP or STRING.
 
-    One aggregate over all columns. ``sample_rows`` looks at that many rows only.
+    One aggregate over all columns and all rows.
     """
     columns = columns or df.columns
-    rows = df.limit(sample_rows) if sample_rows else df
     found = []
     for c in columns:
         text = F.col(c).cast("string")
@@ -111,7 +110,7 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample_rows: in
             .otherwise("STRING")
         )
         found.append(F.struct(F.lit(c).alias("name"), kind.alias("type")).alias(c))
-    return rows.agg(*found).select(F.explode(F.array(*columns)).alias("t")).select("t.*")
+    return df.agg(*found).select(F.explode(F.array(*columns)).alias("t")).select("t.*")
 
 
 def decode(
