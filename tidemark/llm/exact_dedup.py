@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import scratch_root, shuffle_partitions
 
-from .common import MARK, stored
+from .common import MARK, join_groups, stored
 
 
 def text_digest(text: str | Column) -> Column:
@@ -73,9 +73,11 @@ def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("digest"))
     groups = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(groups, "digests")
     index.append_unseen(groups)
     owners = index.read().join(groups.select("digest", "group_size"), "digest")
-    return rows.join(owners.select("digest", "keep_id", "group_size"), "digest").select(
+    owned = join_groups(rows, owners.select("digest", "keep_id", "group_size"), "digest", "group_size")
+    return owned.select(
         "id", "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
     )
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARK, components, per_text, stored
+from .common import MARK, components, join_groups, per_text, stored
 
 SEED = 42  # of the shingle hash
 GROUPS = ((0, 21), (21, 22), (43, 21))  # (first bit, width): the bits left out in turn
@@ -204,14 +204,14 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fp, component_id) per row: component_id is the smallest id reachable by links, itself included."""
     marked = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    points = marked.groupBy("fp").agg(F.min("id").alias("first"))
+    points = marked.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     roots = components(links(points, max_bits))
     grouped = points.join(roots, points.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp", "first", "n", F.coalesce("root", "fp").alias("root")
     )
-    firsts = grouped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("id", "fp", "component_id")
+    firsts = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(grouped.join(firsts, "root").select("fp", "n", "component_id"), "groups")
+    return join_groups(marked, named, "fp", "n").select("id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):
