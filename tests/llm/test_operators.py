@@ -164,7 +164,7 @@ def test_pieces_and_places(spark, odd_documents, no_documents):
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             data = b"".join(x.to_bytes(4, "little") for x in ids[a:b])
             want[i, k, a, b - a, zlib.crc32(data), tuple(ids[a:b])] += 1
-    cut = packing.pieces(odd_documents, BYTE_BPE, 2, 64, with_ids=True)
+    cut = packing.pieces(odd_documents, BYTE_BPE, public_tokenizers.PATTERN, 2, 64, with_ids=True)
     out = packing.pack(cut, 64).collect()
     assert Counter((r["id"], r["piece"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])) for r in out) == want
     used = {}
@@ -176,7 +176,7 @@ def test_pieces_and_places(spark, odd_documents, no_documents):
             assert offset == at
             at += length
         assert at <= 64
-    assert packing.pack(packing.pieces(no_documents, BYTE_BPE, 2, 64), 64).count() == 0
+    assert packing.pack(packing.pieces(no_documents, BYTE_BPE, public_tokenizers.PATTERN, 2, 64), 64).count() == 0
 
 
 def test_numbering_over_slices(spark, monkeypatch):

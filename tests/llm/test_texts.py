@@ -52,19 +52,13 @@ def test_ids_of_words_are_the_texts():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids, library = IdsOf(path), Tokenizer.from_file(path)
-    for text in odd_texts(3000, 3) + ["", "ab " * 3000, " \n x"]:
+    ids, library = IdsOf(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    latin = ["".join(random.Random(k).choices([chr(c) for c in range(0x250)], k=60)) for k in range(500)]
+    assert ids.encoding is not None
+    for text in odd_texts(3000, 3) + latin + ["", "ab " * 3000, " \n x", "x" * 50_000]:
         assert np.frombuffer(ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_the_word_table_starts_anew(monkeypatch):
-    from tidemark.llm import vocabulary
-
-    monkeypatch.setattr(vocabulary, "WORDS_KEPT", 3)
-    ids = IdsOf(public_tokenizers.path("byte_bpe_50k.json"))
-    assert ids("one two three four five") == b"".join(ids(w) for w in ("one", " two", " three", " four", " five"))
-
-
 def placed(counts, capacity):
     bins, seen = {}, set()
     for size, first, n, base, per, offset in reduce_and_fit(counts, capacity):

@@ -34,22 +34,23 @@ from pyspark.sql import functions as F
 from .common import per_text, stored
 from .vocabulary import IdsOf
 
-SLICE_ROWS = 100_000  # pieces numbered together
+SLICE_ROWS = 10_000  # pieces numbered together
 
 
 def pieces(
     docs: DataFrame,
     tokenizer: str,
+    pattern: str,
     end_id: int,
     capacity: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
 ) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]) per piece; ``tokenizer`` is the path of a tokenizers file."""
+    """(id, piece, start, length, ids_crc32[, ids]) per piece; ``tokenizer`` and ``pattern`` as in ``IdsOf``."""
 
     def make() -> Callable:
-        ids_of, end = IdsOf(tokenizer), np.uint32(end_id).tobytes()
+        ids_of, end = IdsOf(tokenizer, pattern), np.uint32(end_id).tobytes()
 
         def rows(i, text):
             data = memoryview(ids_of(text) + end)

@@ -58,7 +58,7 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 1024 tokens."""
     from .packing import pack, pieces
 
-    cut = pieces(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    cut = pieces(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
     return pack(cut, 1024).withColumnRenamed("id", "doc_id")
 
 
