@@ -40,10 +40,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", good),
+    ("quality classifier", good),
     ("exact dedup", exact),
-    ("near dedup", near),
-    ("decontamination", uncontaminated),
+    ("SimHash near-dedup", near),
+    ("benchmark decontamination", uncontaminated),
     ("best-fit packing", pack),
 ]
 

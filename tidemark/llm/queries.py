@@ -81,7 +81,23 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-@query()
+CHAT_SQL = r"""
+with t as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+s as (
+    select *, regexp_extract_all(role || text, '<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>') as marks
+    from t)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(33 + 2 * length(role || text) - length(replace(role || text, chr(92), '')) + len(marks))::bigint as formatted_chars
+from s group by conv_id
+"""
+
+
+@query(CHAT_SQL)
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, and one made of control strings, formatted and read back."""
     from .chat import digests, fold, render
@@ -115,7 +131,19 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-@query()
+REPEATS_SQL = r"""
+with d as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 18)) as s from d),
+r as (select doc_id, s, row_number() over (partition by array_to_string(w[s : s + 19], ' ') order by doc_id, s) > 1 as later from p),
+g as (select doc_id, list(distinct i) as gone from (select doc_id, unnest(range(s, s + 20)) as i from r where later) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+    sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)), ' ')) as kept_sha256
+from d left join g using (doc_id)
+"""
+
+
+@query(REPEATS_SQL)
 def op3_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that belong to passages found earlier."""
     from .repeats import repeated_words
