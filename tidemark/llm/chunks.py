@@ -8,12 +8,15 @@ keys (a bucket); a bucket merges what all chunks sent and answers every chunk
 entry by entry, in the order asked. Chunks are written once, bucketed by their
 number, so only questions and answers move afterwards.
 
-Both sides are bounded: a chunk by its number of words (a single longer document is
-a chunk of its own), a bucket by the number of buckets, which grows with the corpus.
+Both sides are bounded: a chunk by its number of words (a longer document ends its
+chunk), a bucket by the number of buckets. Both grow with the square root of the
+corpus, up to a bound: at 100 TB, with chunks and buckets of 20 million words, a
+row still carries dozens of keys.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
@@ -24,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch_root, shuffle_partitions
+from tidemark.session import estimated_bytes, scratch_root, shuffle_partitions
 
 from .common import rows_to_arrow
 
-CHUNK_WORDS = 5_000_000
+CHUNK_WORDS = 500_000  # at least, and
+BUCKET_WORDS = 2_000_000  # words of the corpus per bucket of keys, at least
+MOST_WORDS = 30_000_000  # of either; a task holds about 100 bytes for each
+CELL_KEYS = 32  # chunks and buckets grow so that a chunk has about this many keys for a bucket
 CHUNK_DOCS = 100_000
-BUCKET_WORDS = 4_000_000  # words of the corpus per bucket of keys
 NO_ID = -(1 << 63)  # stands for a null id
 
 CHUNKS = "chunk long, n_words long, ids binary, sizes binary, vocabulary binary, words binary"
@@ -103,6 +108,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, lower: bool) -> DataFra
     With ``lower``, A to Z become lower-case. A null text has no words.
     """
     schema = _arrow(CHUNKS)
+    size = estimated_bytes(docs.select(text_col))
+    most = sized(CHUNK_WORDS, size / 4 if size < 1e16 else 0)  # of a size nobody knows, the least
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -134,7 +141,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, lower: bool) -> DataFra
                 sizes.append(len(found))
                 words.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
                 n += len(found)
-                if n >= CHUNK_WORDS or len(ids) >= CHUNK_DOCS:
+                if n >= most or len(ids) >= CHUNK_DOCS:
                     yield row(index, ids, sizes, words, n)
                     index, ids, sizes, words, n = new()
         if ids:
@@ -149,10 +156,15 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, lower: bool) -> DataFra
     return spark.table(name)
 
 
+def sized(least: int, corpus_words: float) -> int:
+    """Words of a chunk or bucket: with the root of the corpus, so that cells do not become empty."""
+    return int(min(max(least, math.sqrt(CELL_KEYS * corpus_words)), MOST_WORDS))
+
+
 def buckets_for(chunks: DataFrame) -> int:
     """How many buckets (a power of two) the keys of this corpus need."""
     words = chunks.agg(F.sum("n_words")).first()[0] or 0
-    return 1 << max(0, (words // BUCKET_WORDS)).bit_length()
+    return 1 << (words // sized(BUCKET_WORDS, words)).bit_length()
 
 
 def requests(number: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> list[tuple]:
