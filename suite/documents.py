@@ -1,12 +1,15 @@
 """Chunking, embeddings, vector and text search."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import combine_embeddings, cosine
 from tidemark.operators.docs import build_context, chunk, embed, number_chunks
 from tidemark.operators.text import bm25, keyword_search, match_all
 from tidemark.operators.vector import hybrid_ranked, hybrid_search, ivf_build, ivf_search, nearest, score, vector_search
-from tidemark.session import reliable
+from tidemark.session import reliable, scratch_path
+from tidemark.sources.read import read_documents
 
 from . import near, query
 
@@ -166,10 +169,21 @@ def ivf_all_lists(t):
     return found.withColumn("distance", near("distance", 6))
 
 
-@query()
+@query(f"with {SQL_CENTRES} select label as query, 10 as found, true as recalled from centres")
 def ivf_topk(t):
+    """Few probes of an index written by list: found rows per query, and whether at least half of the true ones are among them."""
     rows, middles = ivf_build(t.embeddings, "embedding", nlist=16)
-    return ivf_search(rows, middles, centres(t), "vec_id", "embedding", "query", "centre", nprobe=10)
+    place = scratch_path(t.spark, "index")
+    rows.write.partitionBy("list").parquet(place)
+    index = t.spark.read.parquet(place)
+    plan = index.filter("list in (1, 2)")._jdf.queryExecution().executedPlan().toString()
+    if not re.search(r"PartitionFilters: \[[^]]*list", plan):
+        raise AssertionError("probed lists are not read alone")
+    asked = centres(t)
+    found = ivf_search(index, middles, asked, "vec_id", "embedding", "query", "centre", nprobe=10)
+    exact = vector_search(t.embeddings, asked, "vec_id", "embedding", "query", "centre")
+    both = found.select("query", "vec_id").join(exact.select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left")
+    return both.groupBy("query").agg(F.count("*").cast("int").alias("found"), (F.count("hit") >= 5).alias("recalled"))
 
 
 @query(
@@ -321,3 +335,33 @@ def bm25_repeated_ids(t):
         part = part.withColumns({"distance": near("distance", 5), "path": F.lit(path)})
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("select sum(length(text) + 1)::bigint as size, true as named from documents")
+def document_files(t):
+    """Documents written as text files and loaded file by file."""
+    place = scratch_path(t.spark, "files")
+    t.documents.select("text").repartition(4).write.text(place)
+    files = read_documents(t.spark, place)
+    return files.agg(F.sum("size").alias("size"), F.bool_and(F.endswith("source", "filename")).alias("named"))
+
+
+@query(
+    """
+    select doc_id, length(text)::double as size, (length(text) - length(replace(text, ' ', '')))::double as spaces, true as others_kept from documents
+    """
+)
+def embedded_by_model(t):
+    """A caller's model, started once per task; its values, and the other columns as they were."""
+
+    def model():
+        return lambda texts: [[len(x), x.count(" ")] for x in texts]
+
+    vectors = embed(t.documents, "text", model)
+    kept = F.col("n_chars") == F.length("text")
+    return vectors.select(
+        "doc_id",
+        F.get("embedding", F.lit(0)).cast("double").alias("size"),
+        F.get("embedding", F.lit(1)).cast("double").alias("spaces"),
+        kept.alias("others_kept"),
+    )

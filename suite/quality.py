@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.aggregate import class_weight, column_stats, output_stats
 from tidemark.operators.quality import (
     Check, check_schema, check_vector, constant_columns, json_stats, profile, profile_table, remediate, validate,
+    validate_against,
     validate_log, with_status,
 )
 from tidemark.sources.write import feature_log
@@ -221,3 +222,21 @@ def text_stats(t):
 )
 def label_weight(t):
     return class_weight(t.labels, "quality")
+
+
+@query(
+    """
+    with r as (select max(value) as top, min(value) as low from events where ts < timestamp '2024-01-15'),
+    n as (select count(value) as n, count(value) filter (value between low and top) as inside from events, r)
+    select 'between' as kind, 'value' as column_name, inside = n as success from n
+    """
+)
+def dq_own_profile(t):
+    """Checks that a caller's function derives from a reference, applied to all rows."""
+
+    def extremes(df):
+        low, top = df.agg(F.min("value"), F.max("value")).first()
+        return [Check("between", "value", low, top)]
+
+    found = validate_against(t.events, t.events.filter("ts < timestamp_ntz '2024-01-15'"), extremes)
+    return found.select("kind", "column_name", "success")

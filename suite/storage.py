@@ -1,5 +1,6 @@
 """Sinks and stored tables, written below the shared scratch folder and read back."""
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -174,3 +175,34 @@ def partitioned_feature_log(t):
     return back.groupBy("event_type", F.col("__log_date").alias("day")).agg(
         F.count("*").alias("rows"), F.count_if(F.col("activity__value__status") == "PRESENT").alias("present")
     )
+
+
+@query(
+    """
+    with w as (select user_id, value, ts from events where ts between timestamp '2024-01-01' and timestamp '2024-01-15'
+               qualify row_number() over (partition by user_id order by ts desc) = 1)
+    select 'online' as place, user_id, value, ts from w union all select 'offline', user_id, value, ts from w
+    """
+)
+def materialized_both(t):
+    """One range into the online and the offline table."""
+    space = space_of(t, activity(t, online=True, offline=True))
+    space.materialize(START, HALF)
+    stored = {"online": space.online("activity").read(t.spark), "offline": space.offline("activity")}
+    parts = [df.select(F.lit(place).alias("place"), "user_id", "value", "ts") for place, df in stored.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    """
+    select user_id, value, ts, (select count(*) from events) as rows from events
+    where ts between timestamp '2024-01-08' and timestamp '2024-01-15'
+    """
+)
+def table_source(t):
+    """A dataset saved as a table, and a view that reads a range of it."""
+    name = f"saved_events_{uuid.uuid4().hex}"
+    save_dataset(t.events, name, "ts")
+    view = View("saved", ("user_id",), ("value",), BatchSource(table=name, ts="ts"), ts="ts")
+    rows = view.rows(t.spark, datetime(2024, 1, 8), HALF).select("user_id", "value", "ts")
+    return rows.withColumn("rows", F.lit(t.spark.table(name).count()))

@@ -10,7 +10,7 @@ from tidemark.operators.asof import Side, asof_join, entityless_join
 from tidemark.operators.joins import attach_label, join_aggregates, join_views, lookup
 from tidemark.operators.latest import first_per_key, latest_per_key, pull_latest
 from tidemark.operators.quality import Check, ValidationError
-from tidemark.plans.views import OnDemandView, View
+from tidemark.plans.views import OnDemandView, View, batch_view, on_demand_view
 from tidemark.plans.workspace import Workspace, aliased
 from tidemark.session import scratch_path
 from tidemark.sources.read import BatchSource
@@ -489,3 +489,26 @@ def view_checks_after_aggregate(t):
     except ValidationError:
         refused = True
     return good.withColumn("refused", F.lit(refused))
+
+
+@query(
+    """
+    with w as (select user_id, value * 2 as value from events qualify row_number() over (partition by user_id order by ts desc) = 1)
+    select user_id, round(1e-9 + value, 6) as value, round(1e-9 + value + 1, 6) as more from w
+    """
+)
+def decorated_views(t):
+    """Views made from functions by decorators."""
+
+    @batch_view(keys=("user_id",), features=("value",), source=BatchSource(frame=t.events), ts="ts")
+    def doubled(df):
+        return df.withColumn("value", F.col("value") * 2)
+
+    @on_demand_view(sources=("doubled:value",), outputs="more double", inputs=("value",))
+    def plus(df):
+        return (df["value"] + 1).to_frame("more")
+
+    if (doubled.name, plus.name) != ("doubled", "plus"):
+        raise AssertionError("a decorated view has another name")
+    out = plus.apply(doubled.build(t.spark))
+    return out.select("user_id", near("value", 6).alias("value"), near("more", 6).alias("more"))

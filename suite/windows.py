@@ -113,11 +113,11 @@ SLIDING_SQL = """
     ends as (select unnest(generate_series(lo, hi, interval 1 hour)) + interval 1 hour as window_end from span),
     grid as (select user_id, window_end from (select distinct user_id from events), ends)
     select g.user_id, g.window_end,
-        round(1e-9 + coalesce(sum(value), 0), 3) as sum_value_86400s, count(value) as count_value_86400s,
-        round(1e-9 + avg(value), 3) as avg_value_86400s, round(1e-9 + stddev_samp(value), 3) as std_value_86400s,
+        round(1e-9 + coalesce(sum(value), 0), 6) as sum_value_86400s, count(value) as count_value_86400s,
+        round(1e-9 + avg(value), 6) as avg_value_86400s, round(1e-9 + stddev_samp(value), 6) as std_value_86400s,
         min(value) as min_value_86400s, max(value) as max_value_86400s,
-        round(1e-9 + coalesce(sum(value) filter (e.ts >= g.window_end - interval 6 hour), 0), 3) as sum_value_21600s,
-        round(1e-9 + var_samp(value) filter (e.ts >= g.window_end - interval 6 hour), 3) as var_value_21600s,
+        round(1e-9 + coalesce(sum(value) filter (e.ts >= g.window_end - interval 6 hour), 0), 6) as sum_value_21600s,
+        round(1e-9 + var_samp(value) filter (e.ts >= g.window_end - interval 6 hour), 6) as var_value_21600s,
         max(value) filter (e.ts >= g.window_end - interval 6 hour) as max_value_21600s
     from grid g left join events e on e.user_id = g.user_id and e.ts < g.window_end and e.ts >= g.window_end - interval 1 day
     group by all
@@ -131,7 +131,7 @@ INEXACT = (
 def sliding_tiled(t):
     """Nine aggregates over two window lengths at every hour, from hourly tiles."""
     out = aggregate_tiled(t.events, ["user_id"], SLIDING_SPECS, "ts", HOUR)
-    return rounded(plain_time(out, "window_end"), *INEXACT, digits=3)
+    return rounded(plain_time(out, "window_end"), *INEXACT, digits=6)
 
 
 @query(f"select * from ({SLIDING_SQL}) qualify row_number() over (partition by user_id order by window_end desc) = 1")
@@ -140,19 +140,19 @@ def sliding_tiled_latest(t):
         "activity", ("user_id",), (), BatchSource(frame=t.events), ts="ts", aggregations=tuple(SLIDING_SPECS), hop=HOUR
     )
     out = view.build(t.spark).withColumnRenamed("ts", "window_end")
-    return rounded(plain_time(out, "window_end"), *INEXACT, digits=3)
+    return rounded(plain_time(out, "window_end"), *INEXACT, digits=6)
 
 
 @query(
     """
-    select user_id, cast(floor(epoch(ts) / 3600) as bigint) as hop, round(1e-9 + sum(value), 4) as value__sum, count(value) as value__count,
-           round(1e-9 + sum(value * value), 4) as value__sum_sq, min(value) as value__min
+    select user_id, cast(floor(epoch(ts) / 3600) as bigint) as hop, count(value) as value__count, round(1e-9 + avg(value), 6) as value__mean,
+           round(1e-9 + var_pop(value) * count(value), 6) as value__m2, min(value) as value__min
     from events group by all
     """
 )
 def tiles_hourly(t):
     specs = [Aggregation("value", "std", DAY), Aggregation("value", "min", DAY)]
-    return rounded(build_tiles(t.events, ["user_id"], specs, "ts", HOUR), "value__sum", "value__sum_sq")
+    return rounded(build_tiles(t.events, ["user_id"], specs, "ts", HOUR), "value__mean", "value__m2", digits=6)
 
 
 @query(
@@ -195,3 +195,18 @@ def view_over_view(t):
         aggregations=(Aggregation("spend", "max"), Aggregation("spend", "count")),
     )
     return top.build(t.spark)
+
+
+@query(
+    """
+    with ends as (select distinct user_id, date_trunc('hour', ts) + interval 1 hour as window_end from events)
+    select g.user_id, g.window_end, round(1e-9 + var_samp(floor(value)), 6) as var_value_86400s, round(1e-9 + stddev_samp(floor(value)), 6) as std_value_86400s
+    from ends g join events e on e.user_id = g.user_id and e.ts < g.window_end and e.ts >= g.window_end - interval 1 day group by all
+    """
+)
+def sliding_spread_of_large_values(t):
+    """Variance over tiles of values far from zero: nothing cancels."""
+    far = t.events.withColumn("value", F.floor("value") + F.lit(1e8))
+    specs = [Aggregation("value", f, DAY) for f in ("var", "std")]
+    out = aggregate_tiled(far, ["user_id"], specs, "ts", HOUR, dense=False)
+    return rounded(plain_time(out, "window_end"), "var_value_86400s", "std_value_86400s", digits=6)

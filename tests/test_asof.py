@@ -155,9 +155,9 @@ def test_a_long_history_is_not_walked_per_row(spark, monkeypatch):
     f = small(spark, [(1, at(h), h) for h in range(50)], "k int, ts timestamp, v int")
     e = small(spark, [(1, at(7))], "k int, t timestamp")
     side = Side(f, ("k",), "ts", {"v": "v"})
-    assert asof._use_intervals(e, side, "broadcast")
+    assert asof._use_intervals(1, e, side, "broadcast")
     monkeypatch.setattr(asof, "LONG_HISTORY", 10)
-    assert not asof._use_intervals(e, side, "broadcast")
+    assert not asof._use_intervals(1, e, side, "broadcast")
 
 
 def test_two_key_sets_share_no_columns(spark):

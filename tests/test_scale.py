@@ -97,14 +97,6 @@ def test_bracket_limit_is_what_one_task_may_sort():
     assert aggregate.BRACKET_ROWS <= 1_000_000
 
 
-@pytest.mark.parametrize("name", list(suite.QUERIES))
-def test_no_all_pairs_joins(spark, name):
-    if name.startswith(("model_", "batch_", "ivf_", "stream_", "lineage_")):
-        pytest.skip("runs jobs; covered by its own tests")
-    plan = suite.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 def test_filters_and_columns_reach_the_scan(spark):
     df = suite.QUERIES["latest_in_range"](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -227,16 +227,17 @@ def exact_medians(df: DataFrame, columns: list[str], bracket_rows: int = BRACKET
 
 
 def impute_median(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    """Replace nulls by the column's median; one pass finds all medians."""
-    mid = medians(df, columns, exact).select(F.struct("*")).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), mid[c]) for c in columns})
+    """Replace nulls by the column's median; all medians are found first, as one row."""
+    mid = medians(df, columns, exact).first()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(mid[c]).cast("double")) for c in columns})
 
 
 def minmax(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Scale to [0, 1]; a constant column becomes 0."""
-    ends = df.agg(F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).alias("e")).scalar()
+    """Scale to [0, 1]; a constant column becomes 0. All ranges are found first, as one row."""
+    ends = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
     scaled = {}
     for c in columns:
-        lo, hi = ends[c]["lo"], ends[c]["hi"]
-        scaled[c] = F.when(hi - lo > 0, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
+        lo, hi = ends[f"lo_{c}"], ends[f"hi_{c}"]
+        flat = lo is None or not hi - lo > 0
+        scaled[c] = F.lit(0.0) if flat else (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
     return df.withColumns(scaled)

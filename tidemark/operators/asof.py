@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import ONE_TASK_BYTES, broadcast_limit, estimated_bytes, fits_one_task, row_bytes
+from ..session import ONE_TASK_BYTES, broadcast_limit, estimated_bytes, fits_one_task, row_bytes, written
 from .skew import TimeSlices, content_hash, micros, plan_time_slices
 
 
@@ -82,47 +82,56 @@ def asof_join(
         if clash:
             raise ValueError(f"feature names collide: {sorted(clash)}; use full names")
         taken.update(new)
+    # keys and times of the entity rows, which planning reads; a frame that may be big
+    # runs once for them and once for the result
+    probe, span, n = entity, None, None
+    if strategy == "broadcast" or not fits_one_task(entity, *[s.df for s in todo]):
+        probe = written(entity.select(*dict.fromkeys([*(k for s in todo for k in s.keys), ets])), "entity-keys")
+        at = micros(F.col(ets))
+        *span, n = probe.agg(F.min(ets), F.max(ets), F.min(at), F.max(at), F.count(F.lit(1))).first()
     out = entity
     by_keys: dict[tuple[str, ...], list[Side]] = {}
     for side in todo:
-        if side.keys and _use_intervals(entity, side, strategy):
-            out = _interval_join(out, side, ets)
+        if _use_intervals(n, entity, side, strategy):
+            out = _interval_join(out, side, ets, span)
         else:
             by_keys.setdefault(side.keys, []).append(side)
-    span, cut = None, bool(slices)
-    if by_keys and not fits_one_task(entity, *[s.df for g in by_keys.values() for s in g]):
-        # one job; the optimizer's estimate of a joined entity frame is far too big
-        lo, hi, n = entity.agg(F.min(ets), F.max(ets), F.count(F.lit(1))).first()
-        span = (lo, hi)
+    cut = bool(slices)
+    if by_keys and span:
         feats = sum(estimated_bytes(s.df.select(*s.keys, s.ts, *s.columns)) for g in by_keys.values() for s in g)
         cut = cut or n * row_bytes(entity) + feats > ONE_TASK_BYTES
     for keys, group in by_keys.items():
-        out = _window_join(out, entity, list(keys), group, ets, span, cut, slices)
+        out = _window_join(out, probe, list(keys), group, ets, span, cut, slices)
     order = [*entity.columns]
     for side in todo:
         order += [*side.columns.values(), *([side.ts_as] if side.ts_as else [])]
     return out.select(*order)
 
 
-def _use_intervals(entity: DataFrame, side: Side, strategy: str) -> bool:
+def _use_intervals(n: int | None, entity: DataFrame, side: Side, strategy: str) -> bool:
     if strategy not in ("auto", "window", "broadcast"):
         raise ValueError(f"unknown strategy {strategy!r}")
     limit = broadcast_limit(side.df.sparkSession)
-    if strategy == "window" or estimated_bytes(side.df) > limit:
+    if strategy == "window" or n is None or not limit:
         return False
-    if strategy == "auto" and fits_one_task(entity):
+    if strategy == "auto" and n * row_bytes(entity) <= ONE_TASK_BYTES:
         return False
-    # the estimate is of compressed files, so count the rows; and a lookup walks the
-    # rows of its key, so a long history is better sorted once
+    # an estimate of a join or of compressed files says little, so count the rows, up
+    # to what may be sent; a lookup walks the rows of its key, so a long history is
+    # better sorted once
     rows = side.df.select(*side.keys, side.ts, *side.columns)
-    n, longest = rows.groupBy(*side.keys).count().agg(F.sum("count"), F.max("count")).first()
-    return (n or 0) * row_bytes(rows) <= limit and (longest or 0) <= LONG_HISTORY
+    most = limit // row_bytes(rows)
+    found = rows.limit(most + 1).groupBy(*side.keys).count().agg(F.sum("count"), F.max("count")).first()
+    rows_found, longest = found[0] or 0, found[1] or 0
+    return rows_found <= most and (longest <= LONG_HISTORY or not side.keys)
 
 
-def _interval_join(entity: DataFrame, side: Side, ets: str) -> DataFrame:
+def _interval_join(entity: DataFrame, side: Side, ets: str, span: list) -> DataFrame:
     """Give every feature row the time it is valid until, then look it up by broadcast.
 
     Validity intervals of one key are disjoint, so an entity row meets at most one.
+    Without a key, time is cut into as many cells as there are intervals, and a row
+    looks only at the intervals of its cell.
     """
     order = [side.ts, *([side.created] if side.created else [])]
     rows = side.df.dropna(subset=[*side.keys, side.ts]).withColumn("_tie", side.tie_break())
@@ -136,10 +145,25 @@ def _interval_join(entity: DataFrame, side: Side, ets: str) -> DataFrame:
         until.alias("_until"),
     )
     valid = (F.col("_hit.at") <= F.col(ets)) & (F.col("_until").isNull() | (F.col(ets) < F.col("_until")))
-    for k in side.keys:
+    keys = list(side.keys)
+    if not keys:
+        keys = ["_cell"]
+        lo, hi = span[2] or 0, span[3] or 0
+        cells = max(1, spans.count())
+        width = max(1, (hi - lo) // cells)
+
+        def cell(c: Column) -> Column:
+            return F.floor((micros(c) - F.lit(lo)) / F.lit(width))
+
+        last = F.lit((hi - lo) // width).cast("long")
+        inside = F.sequence(F.greatest(cell(F.col("_hit.at")), F.lit(0).cast("long")), F.least(F.coalesce(cell(F.col("_until")), last), last))
+        seen = (cell(F.col("_hit.at")) <= last) & (F.coalesce(cell(F.col("_until")), last) >= 0)
+        spans = spans.where(seen).withColumn("_key__cell", F.explode(inside))
+        entity = entity.withColumn("_cell", cell(F.col(ets)))
+    for k in keys:
         valid = valid & (F.col(k) == F.col(f"_key_{k}"))
     joined = entity.join(F.broadcast(spans), valid, "left")
-    return _emit(joined, side, ets, "_hit").drop("_hit", "_until", *[f"_key_{k}" for k in side.keys])
+    return _emit(joined, side, ets, "_hit").drop("_hit", "_until", "_cell", *[f"_key_{k}" for k in keys])
 
 
 def _emit(df: DataFrame, side: Side, ets: str, hit: str) -> DataFrame:
@@ -153,7 +177,7 @@ def _emit(df: DataFrame, side: Side, ets: str, hit: str) -> DataFrame:
     return df.withColumns(new)
 
 
-def _prefilter(entity: DataFrame, side: Side, keys: list[str], span: tuple | None) -> DataFrame:
+def _prefilter(entity: DataFrame, side: Side, keys: list[str], span: list | None) -> DataFrame:
     """Drop feature rows no entity row can see, before they reach the shuffle.
 
     ``span`` is the entity time range; as literals the bounds reach the scan.
@@ -171,7 +195,7 @@ def _prefilter(entity: DataFrame, side: Side, keys: list[str], span: tuple | Non
 
 
 def _window_join(
-    out: DataFrame, entity: DataFrame, keys: list[str], sides: list[Side], ets: str, span: tuple | None,
+    out: DataFrame, entity: DataFrame, keys: list[str], sides: list[Side], ets: str, span: list | None,
     cut: bool, slices: int | None,
 ) -> DataFrame:
     """Add the features of ``sides`` to ``out``.

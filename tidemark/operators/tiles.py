@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .aggregate import Aggregation
-from .latest import latest_per_key
 from .skew import micros
 
 # Partials a function needs, and how partials of the same kind merge.
@@ -25,14 +24,17 @@ PARTIALS = {
     "max": ("max",),
     "mean": ("sum", "count"),
     "avg": ("sum", "count"),
-    "std": ("sum", "count", "sum_sq"),
-    "stddev": ("sum", "count", "sum_sq"),
-    "var": ("sum", "count", "sum_sq"),
-    "variance": ("sum", "count", "sum_sq"),
+    "std": ("count", "mean", "m2"),
+    "stddev": ("count", "mean", "m2"),
+    "var": ("count", "mean", "m2"),
+    "variance": ("count", "mean", "m2"),
 }
 # Windows of up to this many hops are merged row by row.
 SHORT_WINDOW = 8
-MERGE = {"sum": F.sum, "count": F.sum, "sum_sq": F.sum, "min": F.min, "max": F.max}
+MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "dev": F.sum, "dev_sq": F.sum}
+# Within one key, mean and m2 (the sum of squared distances from the mean) become sums of
+# distances from one value of the key, which add up and do not cancel for large means.
+SHIFTED = {"mean": "dev", "m2": "dev_sq"}
 
 
 def _micros(delta: timedelta) -> int:
@@ -54,7 +56,8 @@ def build_tiles(
     make = {
         "sum": lambda c: F.sum(F.col(c).cast("double")),
         "count": F.count,
-        "sum_sq": lambda c: F.sum(F.col(c).cast("double") * F.col(c).cast("double")),
+        "mean": lambda c: F.avg(F.col(c).cast("double")),
+        "m2": lambda c: F.var_pop(F.col(c).cast("double")) * F.count(c),
         "min": F.min,
         "max": F.max,
     }
@@ -68,9 +71,35 @@ def build_tiles(
 def merge_tiles(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """Combine several tiles of the same key and hop."""
     partials = [c for c in tiles.columns if c not in (*keys, "hop")]
-    return tiles.groupBy(*keys, "hop").agg(
-        *[MERGE[c.rsplit("__", 1)[1]](c).alias(c) for c in partials]
-    )
+    moments = {c.rsplit("__", 1)[0] for c in partials if c.endswith("__m2")}
+    merged = [MERGE[_kind(c)](c).alias(c) for c in partials if _kind(c) in MERGE]
+    out = tiles.groupBy(*keys, "hop").agg(*merged, *[_moments(c).alias(f"_m_{c}") for c in moments])
+    spread = {f"{c}__{p}": F.col(f"_m_{c}")[p] for c in moments for p in ("mean", "m2")}
+    return out.withColumns(spread).select(*keys, "hop", *partials)
+
+
+def _kind(partial: str) -> str:
+    return partial.rsplit("__", 1)[1]
+
+
+def _moments(column: str, where: Column | None = None) -> Column:
+    """Aggregate: count, mean and m2 of several tiles of a group, merged pairwise.
+
+    The tiles of a group are those of one hop and its batches, or of one window.
+    """
+    part = F.struct(*[F.col(f"{column}__{p}").cast("double").alias(p) for p in ("count", "mean", "m2")])
+    used = F.col(f"{column}__count") > 0
+    parts = F.collect_list(F.when(used if where is None else used & where, part))
+
+    def merge(a: Column, b: Column) -> Column:
+        n, d = a["count"] + b["count"], b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("count"),
+            (a["mean"] + d * b["count"] / n).alias("mean"),
+            (a["m2"] + b["m2"] + d * d * a["count"] * b["count"] / n).alias("m2"),
+        )
+
+    return F.when(F.size(parts) > 0, F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, F.lit(0)), merge))
 
 
 def densify(tiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,19 +126,24 @@ def _grid(tiles: DataFrame, keys: list[str]) -> DataFrame:
         F.col("_at").alias("hop"),
         (F.col("_at") - ends["lo"]).alias("_index"),
         *[
-            (F.coalesce(F.when(own, F.col(p)), F.lit(0)) if MERGE[p.rsplit("__", 1)[1]] is F.sum else F.when(own, F.col(p))).alias(p)
+            (F.coalesce(F.when(own, F.col(p)), F.lit(0)) if MERGE.get(_kind(p)) is F.sum else F.when(own, F.col(p))).alias(p)
             for p in partials
         ],
     )
 
 
 def _combine(function: str, part: dict[str, Column]) -> Column:
-    if function in ("sum", "count", "min", "max"):
+    if function == "sum":
+        return F.coalesce(part["sum"], F.lit(0.0))  # of no values
+    if function in ("count", "min", "max"):
         return part[function]
     n = F.nullif(part["count"], F.lit(0))
     if function in ("mean", "avg"):
         return part["sum"] / n
-    spread = F.greatest(part["sum_sq"] - part["sum"] * part["sum"] / n, F.lit(0.0))
+    if "m2" in part:
+        spread = part["m2"]
+    else:
+        spread = F.greatest(part["dev_sq"] - part["dev"] * part["dev"] / n, F.lit(0.0))
     var = F.when(part["count"] > 1, spread / F.nullif(part["count"] - 1, F.lit(0)))
     return F.sqrt(var) if function in ("std", "stddev") else var
 
@@ -137,9 +171,19 @@ def windowed_from_tiles(
     windows take constant work per row, see ``_merge_dense``; otherwise a range
     frame over hop numbers visits the tiles of the window.
     """
-    parts = list(dict.fromkeys((_back(s, hop), f"{s.column}__{p}") for s in specs for p in PARTIALS[s.function]))
+    needs = {s: [SHIFTED.get(p, p) for p in PARTIALS[s.function]] for s in specs}
+    parts = list(dict.fromkeys((_back(s, hop), f"{s.column}__{p}") for s in specs for p in needs[s]))
     name = {part: f"_w{part[0]}_{part[1]}" for part in parts}
     out = tiles
+    for c in {s.column for s in specs if "m2" in PARTIALS[s.function]}:
+        n, mean, m2 = (F.col(f"{c}__{p}") for p in ("count", "mean", "m2"))
+        off = mean - F.first(mean, ignorenulls=True).over(W.partitionBy(*keys).orderBy("hop"))
+        out = out.withColumn("_off", off).withColumns(
+            {
+                f"{c}__dev": F.coalesce(n * F.col("_off"), F.lit(0.0)),
+                f"{c}__dev_sq": F.coalesce(m2 + n * F.col("_off") * F.col("_off"), F.lit(0.0)),
+            }
+        ).drop("_off")
     for hops in dict.fromkeys(h for h, _ in parts):
         mine = [c for h, c in parts if h == hops]
         if dense and hops > SHORT_WINDOW:
@@ -148,7 +192,7 @@ def windowed_from_tiles(
             w = W.partitionBy(*keys).orderBy("hop").rangeBetween(-(hops - 1), 0)
             out = out.withColumns({name[hops, c]: MERGE[c.rsplit("__", 1)[1]](c).over(w) for c in mine})
     cols = [
-        _combine(s.function, {p: F.col(name[_back(s, hop), f"{s.column}__{p}"]) for p in PARTIALS[s.function]}).alias(s.output)
+        _combine(s.function, {p: F.col(name[_back(s, hop), f"{s.column}__{p}"]) for p in needs[s]}).alias(s.output)
         for s in specs
     ]
     end = F.timestamp_micros((F.col("hop") + 1) * F.lit(_micros(hop)))
@@ -182,6 +226,36 @@ def _merge_dense(tiles: DataFrame, keys: list[str], hops: int, columns: dict[str
     return out.withColumns(both).drop("_block", *[f"_{x}_{c}" for x in "rs" for c in columns])
 
 
+def latest_from_tiles(
+    tiles: DataFrame, keys: list[str], specs: list[Aggregation], hop: timedelta, ts_as: str = "window_end", dense: bool = True
+) -> DataFrame:
+    """The newest window of every key: one aggregate over the tiles, no grid and no earlier windows.
+
+    ``dense`` ends every key's window at the newest hop of all; else each at its own.
+    """
+    if dense:
+        tiles = tiles.withColumn("_last", tiles.agg(F.max("hop")).scalar())
+    else:
+        tiles = tiles.withColumn("_last", F.max("hop").over(W.partitionBy(*keys)))
+    aggs, cols = {}, []
+    for s in specs:
+        hops = _back(s, hop)
+        inside = F.col("hop") > F.col("_last") - hops
+        part = {}
+        for p in PARTIALS[s.function]:
+            if p in SHIFTED:
+                aggs[f"_w{hops}_{s.column}"] = _moments(s.column, inside)
+                part[p] = F.col(f"_w{hops}_{s.column}")[p]
+            else:
+                aggs[f"_w{hops}_{s.column}__{p}"] = MERGE[p](F.when(inside, F.col(f"{s.column}__{p}")))
+                part[p] = F.col(f"_w{hops}_{s.column}__{p}")
+                part[p] = F.coalesce(part[p], F.lit(0)) if p == "count" else part[p]
+        cols.append(_combine(s.function, part).alias(s.output))
+    out = tiles.groupBy(*keys, "_last").agg(*[a.alias(n) for n, a in aggs.items()])
+    end = F.timestamp_micros((F.col("_last") + 1) * F.lit(_micros(hop)))
+    return out.select(*keys, end.alias(ts_as), *cols)
+
+
 def aggregate_tiled(
     df: DataFrame,
     keys: list[str],
@@ -198,7 +272,8 @@ def aggregate_tiled(
     newest tile end per key.
     """
     tiles = build_tiles(df, keys, specs, ts, hop)
+    if latest_only:
+        return latest_from_tiles(tiles, keys, specs, hop, ts_as, dense)
     if dense:
         tiles = _grid(tiles, keys)
-    out = windowed_from_tiles(tiles, keys, specs, hop, ts_as, dense)
-    return latest_per_key(out, keys, ts_as) if latest_only else out
+    return windowed_from_tiles(tiles, keys, specs, hop, ts_as, dense)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine, dot, l1, l2
-from ..session import ONE_TASK_BYTES, estimated_bytes, shuffle_partitions
+from ..session import ONE_TASK_BYTES, shuffle_partitions
 from .latest import top_rows
 from .text import contains_any, match_all
 from .topk import DIGITS, Best
@@ -83,19 +83,15 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
         return 1 - product / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
 
 
-def _offer(
-    best: Best, q: np.ndarray, metric: str, ids: np.ndarray, x: np.ndarray, wanted: np.ndarray | None = None
-) -> None:
-    """Score rows against all queries; ``wanted[query, row]`` limits which pairs count."""
+def _offer(best: Best, q: np.ndarray, metric: str, ids: np.ndarray, x: np.ndarray, which: list[int] | None = None) -> None:
+    """Score rows against the queries ``q``; ``which`` are their places in ``best`` when they are not all."""
     step = max(1, 4_000_000 // max(len(ids), 1))
     for first in range(0, len(q), step):
         block = np.round(_distances(x, q[first : first + step], metric), DIGITS)
         for j, d in enumerate(block, first):
             ok = ~np.isnan(d)
-            if wanted is not None:
-                ok &= wanted[j]
             if ok.any():
-                best.offer(j, ids[ok], d[ok])
+                best.offer(j if which is None else which[j], ids[ok], d[ok])
 
 
 def _out_schema(queries: DataFrame, qid: str, docs: DataFrame, id_: str) -> str:
@@ -142,27 +138,34 @@ def vector_search(
 
 
 def _search_broadcast(docs, queries, id_, vec, qid, qvec, metric, k, lists: dict | None = None) -> DataFrame:
-    """``lists`` maps a query to the document lists it probes (column ``list``)."""
+    """``lists`` maps a query to the document lists it probes (column ``list``).
+
+    The rows of a list are then scored against that list's queries only.
+    """
     table = queries.toArrow()  # checked against the byte limit by the caller
     qids = table.column(0).to_pylist()
     vectors = table.column(1).combine_chunks()
-    sent = docs.sparkSession.sparkContext.broadcast(
-        (qids, _matrix(vectors, len(vectors[0])), [sorted(lists[q]) for q in qids] if lists else None)
-    )
+    asking: dict[int, list[int]] | None = None if lists is None else {}
+    for j, query in enumerate(qids if lists else ()):
+        for one in lists[query]:
+            asking.setdefault(one, []).append(j)
+    sent = docs.sparkSession.sparkContext.broadcast((qids, _matrix(vectors, len(vectors[0])), asking))
     schema = _arrow_schema(queries, qid, docs, id_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q, probes = sent.value
+        qids, q, asking = sent.value
         best = Best(qids, k)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1), q.shape[1])
-            wanted = None
-            if probes is not None:
-                at = batch.column(2).to_numpy(zero_copy_only=False)
-                wanted = np.stack([np.isin(at, p) for p in probes])
-            _offer(best, q, metric, np.array(batch.column(0).to_pylist()), x, wanted)
+            x, ids = _matrix(batch.column(1), q.shape[1]), np.array(batch.column(0).to_pylist())
+            if asking is None:
+                _offer(best, q, metric, ids, x)
+                continue
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            for one in np.unique(at).tolist():
+                if which := asking.get(one):
+                    _offer(best, q[which], metric, ids[at == one], x[at == one], which)
         yield pa.RecordBatch.from_arrays(best.columns(schema), schema=schema)
 
     return docs.mapInArrow(run, _out_schema(queries, qid, docs, id_))
@@ -176,9 +179,13 @@ def _search_grid(docs, queries, id_, vec, qid, qvec, metric, k, need, query_byte
     be equal on both sides.
     """
     across = math.ceil(need / query_bytes)
-    known = estimated_bytes(docs)
-    spread = shuffle_partitions(docs.sparkSession)
-    down = max(spread, 1 if math.isinf(known) else math.ceil(known / ONE_TASK_BYTES))
+    # rows are counted, as an estimate of a join is a product of sizes
+    if cells:
+        most, largest = docs.groupBy(*cells).count().agg(F.count("count"), F.max("count")).first()
+    else:
+        most, largest = 1, docs.count()
+    dim = queries.agg(F.max(F.size(qvec))).first()[0] or 1
+    down = max(math.ceil((largest or 0) * dim * 8 / ONE_TASK_BYTES), math.ceil(shuffle_partitions(docs.sparkSession) / across / max(most, 1)), 1)
     left = docs.withColumns(
         {
             "_d": F.pmod(F.xxhash64(id_), F.lit(down)).cast("int"),

@@ -11,6 +11,7 @@ from ..operators.joins import attach_label
 from ..operators.latest import first_per_key
 from ..operators.project import coerce_numeric, derive_ratios, to_utc
 from ..operators.quality import remediate
+from ..session import written
 from ..sources.read import read_documents
 
 
@@ -20,10 +21,11 @@ def clean_and_scale(
 ) -> DataFrame:
     """First row per key → UTC times → numbers → median fill → [0, 1] scaling.
 
-    Two aggregate passes over the data in all, whatever the number of columns.
+    The cleaned rows are written once; medians and ranges are then found by scans of
+    the numeric columns, and enter the result as plain numbers.
     """
     out = first_per_key(df, [key], ts, tie)
-    out = coerce_numeric(to_utc(out, ts), numeric)
+    out = written(coerce_numeric(to_utc(out, ts), numeric), "cleaned")
     out = impute_median(out, numeric, exact_median)
     if label:
         out = out.withColumn(label, out[label].cast("int"))

@@ -73,9 +73,9 @@ class BatchSource:
 def read_documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt", ".md")) -> DataFrame:
     """Whole files as rows: source, content, size in characters, filename."""
     glob = "*{" + ",".join(suffixes) + "}"
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     source = F.col("_metadata.file_path")
-    return files.text(path).select(
+    return files.text(path, wholetext=True).select(
         source.alias("source"),
         F.col("value").alias("content"),
         F.length("value").alias("size"),
