@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,7 +23,8 @@ HEADLINE = (
     "latest_per_user latest_order lookup_status upsert_newer agg_lineitem tumbling_day sliding_day sliding_tiled "
     "impute_and_scale clean_first_orders training_rows ratios encode_labels dq_suite dq_profile dq_column_stats "
     "chunks embedded_documents vector_topk_cosine vector_topk_l2 bm25_any bm25_all match_all_terms "
-    "lineage_edges lineage_trace_all model_metrics stream_latest stream_tumbling stream_tiled"
+    "lineage_edges lineage_trace_all model_metrics stream_latest stream_tumbling stream_tiled "
+    "historical_aggregate_view sliding_tiled_latest on_demand_pandas ivf_topk lineage_trace stream_after_materialize"
 ).split()
 
 
@@ -39,6 +41,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "16g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

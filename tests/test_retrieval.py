@@ -10,6 +10,7 @@ from conftest import rows, small
 
 from tidemark.functions.columns import combine_embeddings
 from tidemark.operators.docs import build_context, chunk, chunk_spans, embed
+from tidemark.functions.stem import porter
 from tidemark.operators.text import bm25, keyword_search, match_all
 from tidemark.operators.vector import hybrid_search, ivf_build, ivf_search, nearest, vector_search
 from tidemark.plans.flows import ingest_documents
@@ -203,6 +204,35 @@ def test_bm25(spark, match, limit):
     assert np.allclose([g[3] for g in got], [w[3] for w in want])
 
 
+# words and stems of Porter's paper
+STEMS = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing
+    conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail
+    filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit operator oper
+    decisiveness decis formaliti formal triplicate triplic formative form electrical electr hopeful hope goodness good
+    revival reviv allowance allow adjustable adjust replacement replac adoption adopt communism commun effective effect
+    probate probat rate rate cease ceas controll control roll roll""".split()
+
+
+def test_stems():
+    assert [porter(w) for w in STEMS[::2]] == STEMS[1::2]
+    assert [porter(w) for w in ("is", "été", "x1", "")] == ["is", "été", "x1", ""]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_stemmed_search(spark, limit):
+    rnd = random.Random(4)
+    docs = [(i // 2, " ".join(rnd.choices(STEMS[::2], k=rnd.randint(0, 12)))) for i in range(40)]  # repeated ids
+    queries = [(0, "hoping agree"), (1, "Motors cat"), (2, "falls")]
+    plain = lambda t: " ".join(porter(w) for w in words(t))
+    d, q = small(spark, docs, "d long, text string"), small(spark, queries, "q int, text string")
+    out = bm25(d.repartition(3), "d", ["text"], q, "q", "text", 9, "any", matrix_bytes=limit, stem=True)
+    got = sorted((r["q"], r["d"], r["rank"], round(r["distance"], 9)) for r in out.collect())
+    want = brute_bm25([(i, plain(t)) for i, t in docs], [(i, plain(t)) for i, t in queries], 9, "any")
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+    some = match_all(d, "d", ["text"], q, "q", "text", matrix_bytes=limit, stem=True)
+    assert sorted(r["d"] for r in some.where("q = 2").collect()) == sorted(i for i, t in docs if "fall" in plain(t).split())
+
+
 @pytest.mark.parametrize("k", [None, 4])
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_match_all(spark, k, limit):

@@ -7,6 +7,7 @@ from collections import Counter
 from typing import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -16,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.columns import as_col
+from ..functions.stem import porter
 from ..session import reliable, spread_small
 from .latest import top_rows
 from .topk import DIGITS, Best
@@ -62,13 +64,24 @@ def keyword_search(df: DataFrame, columns: list[str], needle: str, order: list[s
     return hits if k is None else hits.orderBy(*order).limit(k)
 
 
-def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
+def stems(words: Column) -> Column:
+    """The English stems of an array of words."""
+
+    @F.pandas_udf("array<string>")
+    def run(found: pd.Series) -> pd.Series:
+        return found.map(lambda ws: None if ws is None else [porter(w) for w in ws])
+
+    return run(words)
+
+
+def query_terms(queries: DataFrame, qid: str, text: str, stem: bool = False) -> DataFrame:
     """Distinct (query, term) with the query's number of distinct terms."""
-    terms = queries.select(qid, F.array_distinct(tokens(text)).alias("_terms"))
+    words = stems(tokens(text)) if stem else tokens(text)
+    terms = queries.select(qid, F.array_distinct(words).alias("_terms"))
     return terms.select(qid, F.size("_terms").alias("n_terms"), F.explode("_terms").alias("term"))
 
 
-def postings(df: DataFrame, doc: str, text: Column, vocabulary: DataFrame) -> DataFrame:
+def postings(df: DataFrame, doc: str, text: Column, vocabulary: DataFrame, stem: bool = False) -> DataFrame:
     """(document, row, length, term, tf) for the terms in ``vocabulary`` only.
 
     Words are counted within their row, so nothing is shuffled for it; ``row`` tells
@@ -83,7 +96,7 @@ def postings(df: DataFrame, doc: str, text: Column, vocabulary: DataFrame) -> Da
         for batch in batches:
             out = []
             for found in batch.column(1).to_pylist():
-                counts = Counter(found or ())
+                counts = Counter(map(porter, found or ()) if stem else found or ())
                 out.append((row, len(found or ()), list(counts), list(counts.values())))
                 row += 1
             sizes = [len(o[2]) for o in out]
@@ -114,7 +127,7 @@ def _query_matrix(asked: DataFrame, qid: str, limit: int):
     return terms, qids, matrix
 
 
-def _bags(df: DataFrame, doc: str, text: Column, terms: dict[str, int]) -> DataFrame:
+def _bags(df: DataFrame, doc: str, text: Column, terms: dict[str, int], stem: bool = False) -> DataFrame:
     """Per row its length and the numbers of its words that some query asks for.
 
     The words are looked up batch by batch where the rows lie; nothing is shuffled
@@ -131,7 +144,11 @@ def _bags(df: DataFrame, doc: str, text: Column, terms: dict[str, int]) -> DataF
         for batch in batches:
             words = batch.column(1)
             length = np.nan_to_num(words.value_lengths().to_numpy(zero_copy_only=False)).astype("int32")
-            flat = pc.index_in(words.flatten(), value_set=wanted)
+            distinct = words.flatten().dictionary_encode()
+            names = distinct.dictionary
+            if stem:
+                names = pa.array([porter(w) for w in names.to_pylist()], pa.string())
+            flat = pc.index_in(names, value_set=wanted).take(distinct.indices)
             known = flat.is_valid().to_numpy(zero_copy_only=False)
             per_row = np.bincount(np.repeat(np.arange(len(length)), length)[known], minlength=len(length))
             ends = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype("int32"))
@@ -201,12 +218,13 @@ def bm25(
     k: int = 5,
     match: str = "all",
     matrix_bytes: int = MATRIX_BYTES,
+    stem: bool = False,
 ) -> DataFrame:
     """The ``k`` best documents per query: (query, document, rank, distance).
 
     ``distance`` is the negated BM25 score over all columns with equal weight, so
     the smallest is best. ``match="all"`` wants every query term in the document,
-    ``"any"`` at least one.
+    ``"any"`` at least one. ``stem`` compares English word stems.
 
     Queries whose term matrix fits ``matrix_bytes`` are scored inside the document
     tasks, which emit k rows per query each; more of them by a join on terms.
@@ -214,13 +232,13 @@ def bm25(
     """
     if match not in ("all", "any"):
         raise ValueError(f"unknown match {match!r}")
-    asked = query_terms(queries, qid, query_text)
+    asked = query_terms(queries, qid, query_text, stem)
     known = _query_matrix(asked, qid, matrix_bytes)
     if known is None:
-        ranked = _bm25_join(df, doc, joined_text(columns), asked, qid, match)
+        ranked = _bm25_join(df, doc, joined_text(columns), asked, qid, match, stem)
     else:
         terms, qids, matrix = known
-        bags = reliable(_bags(df, doc, joined_text(columns), terms))
+        bags = reliable(_bags(df, doc, joined_text(columns), terms, stem))
         corpus = bags.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("length")).first()
         have = bags.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").count().collect()
         df_ = np.zeros(len(terms))
@@ -237,9 +255,9 @@ def bm25(
     return top_rows(ranked, [qid], [F.asc("distance"), F.asc(doc)], k, "rank")
 
 
-def _bm25_join(df: DataFrame, doc: str, text: Column, asked: DataFrame, qid: str, match: str) -> DataFrame:
+def _bm25_join(df: DataFrame, doc: str, text: Column, asked: DataFrame, qid: str, match: str, stem: bool) -> DataFrame:
     """The same by joining postings with the queries' terms."""
-    found = postings(df, doc, text, asked.select("term").distinct())
+    found = postings(df, doc, text, asked.select("term").distinct(), stem)
     corpus = df.select(F.size(tokens(text)).alias("n")).agg(
         F.struct(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("length"))
     ).scalar()
@@ -262,13 +280,13 @@ def _bm25_join(df: DataFrame, doc: str, text: Column, asked: DataFrame, qid: str
 
 def match_all(
     df: DataFrame, doc: str, columns: list[str], queries: DataFrame, qid: str, query_text: str, k: int | None = None,
-    matrix_bytes: int = MATRIX_BYTES,
+    matrix_bytes: int = MATRIX_BYTES, stem: bool = False,
 ) -> DataFrame:
     """Documents holding every term of a query, ranked by the share of matching words."""
-    asked = query_terms(queries, qid, query_text)
+    asked = query_terms(queries, qid, query_text, stem)
     known = _query_matrix(asked, qid, matrix_bytes)
     if known is None:
-        found = postings(df, doc, joined_text(columns), asked.select("term").distinct())
+        found = postings(df, doc, joined_text(columns), asked.select("term").distinct(), stem)
         hits = (
             found.join(asked, "term")
             .groupBy(qid, doc, "row")
@@ -283,7 +301,7 @@ def match_all(
     else:
         terms, qids, matrix = known
         found = _score_bags(
-            _bags(df, doc, joined_text(columns), terms), doc, qid, _types(queries, qid, df, doc), qids, matrix, k, True,
+            _bags(df, doc, joined_text(columns), terms, stem), doc, qid, _types(queries, qid, df, doc), qids, matrix, k, True,
             lambda tf, length: -tf / length[:, None],
         )
         hits = found.select(qid, doc, (-F.col("distance")).alias("text_rank"))
