@@ -183,3 +183,15 @@ def test_multi_view_needs_one_shuffle(spark):
     out = asof_join(e, [Side(f, ("k",), "ts", {"v": f"v{i}"}) for i, f in enumerate(feats)], "t", "window")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hash") == 1 and plan.count("Window [") == 1 and plan.count("Sort [") == 1
+
+
+def test_wide_features_are_not_sent(spark):
+    f = small(spark, [(k, at(0), "x" * 1000) for k in range(2000)], "k int, ts timestamp, v string")
+    e = small(spark, [(1, at(7))], "k int, t timestamp")
+    side = Side(f, ("k",), "ts", {"v": "v"})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        assert not asof._use_intervals(1, e, side, "broadcast")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    assert asof._use_intervals(1, e, side, "broadcast")

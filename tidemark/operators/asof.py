@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import ONE_TASK_BYTES, broadcast_limit, estimated_bytes, fits_one_task, row_bytes, written
+from ..session import ONE_TASK_BYTES, broadcast_limit, estimated_bytes, fits_one_task, row_bytes, row_width, written
 from .skew import TimeSlices, content_hash, micros, plan_time_slices
 
 
@@ -116,14 +116,14 @@ def _use_intervals(n: int | None, entity: DataFrame, side: Side, strategy: str)
         return False
     if strategy == "auto" and n * row_bytes(entity) <= ONE_TASK_BYTES:
         return False
-    # an estimate of a join or of compressed files says little, so count the rows, up
-    # to what may be sent; a lookup walks the rows of its key, so a long history is
-    # better sorted once
-    rows = side.df.select(*side.keys, side.ts, *side.columns)
-    most = limit // row_bytes(rows)
-    found = rows.limit(most + 1).groupBy(*side.keys).count().agg(F.sum("count"), F.max("count")).first()
-    rows_found, longest = found[0] or 0, found[1] or 0
-    return rows_found <= most and (longest <= LONG_HISTORY or not side.keys)
+    # an estimate of a join or of compressed files says little, so rows are counted and
+    # measured, up to as many as may be sent if they are narrow; a lookup walks the rows
+    # of its key, so a long history is better sorted once
+    rows = side.df.select(*dict.fromkeys([*side.keys, side.ts, *side.columns]))
+    most = limit // (8 * len(rows.columns))
+    per_key = rows.limit(most + 1).groupBy(*side.keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(row_width(rows)).alias("_width"))
+    n, longest, width = (x or 0 for x in per_key.agg(F.sum("_n"), F.max("_n"), F.sum("_width")).first())
+    return n <= most and width <= limit and (longest <= LONG_HISTORY or not side.keys)
 
 
 def _interval_join(entity: DataFrame, side: Side, ets: str, span: list) -> DataFrame:

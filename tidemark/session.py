@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Inputs estimated below this fit one task; above it, no operator lets a single
 # key, group or window hold an unbounded share of the rows.
@@ -59,6 +60,20 @@ def row_bytes(df: DataFrame) -> int:
     return 8 + sum(wide.get(f.dataType.typeName(), 8) for f in df.schema)
 
 
+def row_width(df: DataFrame) -> Column:
+    """The measured width of a row: eight bytes per number, texts and nested values by their length."""
+    width = F.lit(8)
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0))
+        else:
+            width = width + 8
+    return width.cast("long")
+
+
 def fits_one_task(*dfs: DataFrame) -> bool:
     return sum(estimated_bytes(df) for df in dfs) <= ONE_TASK_BYTES
 
