@@ -168,7 +168,7 @@ def buckets_for(chunks: DataFrame) -> int:
 
 
 def requests(number: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> list[tuple]:
-    """Rows for sorted distinct ``keys`` with ``values``, one per bucket that has any."""
+    """Rows for sorted ``keys`` with ``values``, one per bucket that has any."""
     bits = buckets.bit_length() - 1
     edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]

@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from .chunks import NO_ID, Chunk, answer, answers_of, ask, buckets_for, chunked, mix, requests, with_answers
 from .common import stored
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE, BASE_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def _window_hashes(words: np.ndarray, size: int, base: np.uint64 = BASE) -> np.ndarray:
     n = len(words) - size + 1
     out = np.zeros(max(n, 0), np.uint64)
     for j in range(size if n > 0 else 0):
-        out *= BASE
+        out *= base
         out += words[j : j + n]
     return mix(out)
 
@@ -55,15 +55,21 @@ class _Windows:
         at = np.flatnonzero(self.room >= self.block)
         return at, _window_hashes(self.hashed, self.block)[at]
 
-    def near_hits(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and keys of the whole windows that hold a hit; ``hits`` per probe."""
+    def near_hits(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, keys and check values of the whole windows that hold a hit; ``hits`` per probe.
+
+        Key and check value together have 96 bits, so that even the windows of a
+        corpus of 100 TB do not meet by chance.
+        """
         at, _ = self.probes()
         seen = np.zeros(len(self.hashed) + 1, np.int64)
         seen[at[hits] + 1] = 1
         seen = np.cumsum(seen)
         whole = np.flatnonzero(self.room >= self.window)
         whole = whole[seen[whole + self.window - self.block + 1] > seen[whole]]
-        return whole, _window_hashes(self.hashed, self.window)[whole]
+        keys = _window_hashes(self.hashed, self.window)[whole]
+        check = _window_hashes(mix(self.hashed), self.window, BASE_2)[whole] >> np.uint64(32)
+        return whole, keys, check.astype(np.uint32)
 
 
 def _merge_probes(keys, slot, values):
@@ -73,10 +79,12 @@ def _merge_probes(keys, slot, values):
 
 
 def _merge_starts(keys, slot, values):
-    doc, place = values
-    order = np.lexsort((place, doc, slot))
-    first = order[np.concatenate(([True], np.diff(slot[order]) > 0))]
-    doc0, place0 = doc[first][slot], place[first][slot]
+    doc, place, check = values
+    order = np.lexsort((place, doc, check, slot))
+    new = np.concatenate(([True], (np.diff(slot[order]) > 0) | (check[order][1:] != check[order][:-1])))
+    first = np.empty(len(order), np.int64)  # of every entry, the earliest start of its words
+    first[order] = order[new][np.cumsum(new) - 1]
+    doc0, place0 = doc[first], place[first]
     return ((doc0 < doc) | ((doc0 == doc) & (place0 < place))).astype(np.uint8), None
 
 
@@ -104,19 +112,21 @@ def repeated_words(
     def candidates(chunk: Chunk, rows: list[dict]):
         windows = _Windows(chunk, window)
         _, which = np.unique(windows.probes()[1], return_inverse=True)
-        whole, keys = windows.near_hits(answers_of(rows, "hits", np.uint8)[which] > 0 if len(which) else np.empty(0, bool))
+        hits = answers_of(rows, "hits", np.uint8)[which] > 0 if len(which) else np.empty(0, bool)
+        whole, keys, check = windows.near_hits(hits)
         doc, place = chunk.ids[windows.doc[whole]], windows.place[whole]
-        order = np.lexsort((place, doc, keys))
-        whole, keys, doc, place = whole[order], keys[order], doc[order], place[order]
-        new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
-        return whole, keys, doc, place, new
+        order = np.lexsort((place, doc, check, keys))
+        whole, keys, check, doc, place = (x[order] for x in (whole, keys, check, doc, place))
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])
+        return whole, keys, check, doc, place, new
 
     def extend(chunk: Chunk, rows: list[dict]) -> list[tuple]:
-        _, keys, doc, place, new = candidates(chunk, rows)
-        return requests(chunk.number, keys[new], [doc[new], place[new]], buckets)
+        _, keys, check, doc, place, new = candidates(chunk, rows)
+        return requests(chunk.number, keys[new], [doc[new], place[new], check[new]], buckets)
 
     def remove(chunk: Chunk, rows: list[dict]) -> list[tuple]:
-        whole, keys, doc, place, new = candidates(chunk, rows)
+        whole, keys, _, doc, place, new = candidates(chunk, rows)
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         later = (doc > doc[first][group]) | (place > place[first][group]) if len(keys) else np.empty(0, bool)
@@ -137,6 +147,6 @@ def repeated_words(
 
     hits = stored(answer(ask(chunks, probe), [np.uint8], _merge_probes), "hits")
     asked = with_answers(chunks, {"hits": hits}, extend, "chunk long, bucket int, keys binary, values array<binary>")
-    starts = answer(asked, [np.int64, np.int64], _merge_starts)
+    starts = answer(asked, [np.int64, np.int64, np.uint32], _merge_starts)
     ddl = "id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,length:int>>"
     return with_answers(chunks, {"hits": hits, "starts": starts}, remove, ddl + ", kept string" * with_text)
