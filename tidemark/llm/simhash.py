@@ -31,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import shuffle_partitions
+
 from .common import MARK, components, join_groups, per_text, stored
 
 SEED = 42  # of the shingle hash
 GROUPS = ((0, 21), (21, 22), (43, 21))  # (first bit, width): the bits left out in turn
 RUN_ROWS = 500_000  # rows looked at together within a task
+POINTS_PER_TASK = 100_000  # whose variants a task makes
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -195,7 +198,9 @@ def links(points: DataFrame, max_bits: int) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
 
-    met = variants(points, max_bits).repartition("g", "v").sortWithinPartitions("g", "v")
+    # a point becomes over a hundred rows, so points are spread by number, not by their few bytes
+    parts = max(shuffle_partitions(points.sparkSession), -(-points.count() // POINTS_PER_TASK))
+    met = variants(points.select("fp").repartition(parts), max_bits).repartition("g", "v").sortWithinPartitions("g", "v")
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
