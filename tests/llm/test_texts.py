@@ -35,7 +35,10 @@ def word_bpe():
 
 def test_token_counts_are_the_librarys(word_bpe):
     counts, library = word_bpe
-    for text in odd_texts(3000) + ["", "x" * 5000, "The of and " * 300]:
+    rnd = random.Random(11)
+    latin = ["".join(rnd.choices([chr(c) for c in range(0x250)], k=60)) for _ in range(1000)]
+    latin += ["".join(rnd.choices("aé's'llT 9²!\x1c\x85\xa0\n", k=30)) for _ in range(1000)]
+    for text in odd_texts(3000) + latin + ["", "x" * 5000, "The of and " * 300, "<|ENDOFTEXT|> <|endoftext|>"]:
         assert counts.total(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 

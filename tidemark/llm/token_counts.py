@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 
 import regex
@@ -35,7 +36,26 @@ from pyspark.sql import functions as F
 from .common import per_text
 
 KEPT = 250_000  # words, their prefixes, and pairs of tokens that are remembered before starting anew
+KEPT_COUNTS = 800_000  # the same for the counts of pre-tokens alone
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*")
+# Texts that normalising only puts in lower case: up to Latin Extended-A, but for one capital i.
+LATIN = re.compile("[\x00-\u012f\u0131-\u017f]*")
+
+
+def _latin(*kinds: str) -> str:
+    return "".join(f"\\u{c:04x}" for c in range(0x180) if unicodedata.category(chr(c)).startswith(kinds))
+
+
+def _for_latin(pattern: str) -> re.Pattern:
+    """A splitting pattern with its classes of letters, numbers and spaces spelt out for Latin texts.
+
+    The standard library's engine is several times faster and has no such classes.
+    """
+    for name, spelt in ((r"\p{L}", _latin("L")), (r"\p{N}", _latin("N")), (r"\s", r"\t-\r \x85\xa0")):
+        pattern = pattern.replace(name, spelt)  # they stand inside brackets
+    return re.compile(pattern)
+
+
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 ALPHABET = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(_HIDDEN)}
@@ -69,6 +89,8 @@ class PrefixCounts:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.split = regex.compile(_pattern(spec["pre_tokenizer"]))
+        self.split_latin = _for_latin(_pattern(spec["pre_tokenizer"]))
+        self.counts: dict[str, int] = {}
         self.words: dict[str, int] = {}
         self.pieces: dict[str, tuple[list[int], list[str]]] = {}
         self.apart_inside: dict[tuple[str, str], bool] = {}
@@ -158,6 +180,15 @@ class PrefixCounts:
         return ends, totals
 
     def total(self, text: str) -> int:
+        if LATIN.fullmatch(text) and not (self.special and self.special.search(text)):
+            pieces, known = self.split_latin.findall(text.lower()), self.counts
+            if len(known) > KEPT_COUNTS:
+                known.clear()
+            for piece in set(pieces):
+                if piece not in known:
+                    mapped = piece.encode().decode("latin-1").translate(ALPHABET)
+                    known[piece] = self.closed_at(mapped, len(mapped))
+            return sum(map(known.__getitem__, pieces))
         return sum(map(self.of_word, filter(None, text.replace("\n", " ").split(" "))))
 
     def at_every_character(self, text: str) -> list[int]:
