@@ -62,6 +62,15 @@ def test_ids_of_words_are_the_texts():
         assert np.frombuffer(ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "ab " * 1000 + "\t " * 1_000_000 + "<|endoftext|>"])
+def test_ids_of_a_very_long_run_of_white_space(text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, library = IdsOf(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    assert np.array_equal(np.frombuffer(ids(text), "<u4"), library.encode(text, add_special_tokens=False).ids)
+
+
 def placed(counts, capacity):
     bins, seen = {}, set()
     for size, first, n, base, per, offset in reduce_and_fit(counts, capacity):

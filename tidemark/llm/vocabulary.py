@@ -22,7 +22,8 @@ class IdsOf:
     encoded by tiktoken as well, several times faster than by tokenizers; texts in
     Latin letters go that way, with the ranks taken from the same file. ``pattern`` is
     the vocabulary's splitting pattern. Any other text, or vocabulary, goes through
-    tokenizers.
+    tokenizers, and so does a text that tiktoken refuses: its splitting gives up on a
+    run of about a million white-space characters.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -50,5 +51,8 @@ class IdsOf:
 
     def __call__(self, text: str) -> bytes:
         if self.encoding and LATIN.fullmatch(text):
-            return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            try:
+                return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            except ValueError:
+                pass
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
