@@ -245,6 +245,22 @@ def test_passages_against_all_alignments():
             assert (i in found) == want, (trial, i)
 
 
+def test_quotes_are_found_wherever_they_start():
+    rnd = random.Random(10)
+    item = "".join(rnd.choice("abcdefghijklmnop") for _ in range(300))
+    block = Block([(5, item)], 8, 80, 0.09, 24)
+    around = "".join(rnd.choice("qrstuvwxyz") for _ in range(200))
+    for start in range(len(item) - 80 + 1):
+        for edits in (0, 7):  # as many as a piece may have
+            quote = list(item[start : start + 80])
+            for p in range(edits):
+                quote[5 + 10 * p] = "z"
+            (found,) = block.matches(around + "".join(quote) + around)
+            assert found[0] == 5 and found[3] == edits
+            assert abs(found[1] - 200) <= 8 and abs(found[2] - 280) <= 8
+    assert block.matches(around + item[100:172] + around) == []  # 8 edits from any piece
+
+
 def test_passages_keep_their_place_in_a_long_text(monkeypatch):
     from tidemark.llm import decontaminate
 

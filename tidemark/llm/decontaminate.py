@@ -2,11 +2,15 @@
 
 Texts are compared in lower case with every run of other characters than letters
 and digits as one space. A benchmark item is looked for in pieces of ``width``
-characters (a shorter item whole), half overlapping. A stretch of a document within
+characters (a shorter item whole), one from every start, so a quoted part of that
+length is found wherever it lies in the item. A stretch of a document within
 ``k`` edits of a piece of length ``m`` shares at least m + 1 - q (k + 1) of its
 q-grams, all on at most k + 1 neighbouring diagonals. So the q-grams a document
-shares with an item are counted in overlapping bands of diagonals, bands and pieces
-below that bound are dropped, and what is left is aligned within the band.
+shares with an item are counted in overlapping bands of diagonals and bands below
+that bound are dropped. One edit spoils at most q q-grams in a row, so a piece whose
+missing q-grams take more than ``k`` such rows to cover is dropped as well. Pieces that
+stand in the document letter by letter are read off their diagonal, and what is left is
+aligned within the band.
 
 The benchmark is read in blocks of bounded size, and each block is laid against all
 documents. Within a task a text is worked on in overlapping slices, so memory
@@ -31,6 +35,7 @@ from .common import MARK, per_text
 
 BLOCK_CHARS = 1_000_000  # of benchmark text that a task holds
 SLICE_CHARS = 200_000  # of a document looked at together
+ALIGNED = 2000  # pieces aligned together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "id long, item_id long, start long, end long, edits long"
 
@@ -71,6 +76,17 @@ def budget(m: int, q: int, rate: float) -> int:
     return max(0, min(int(m * rate), (m - 3) // q - 1))
 
 
+def merged(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, fewest edits) with the stretches of an item that meet as one."""
+    out: list[list[int]] = []
+    for k, s, e, d in sorted(found):
+        if out and out[-1][0] == k and s <= out[-1][2]:
+            out[-1][2:] = [max(out[-1][2], e), min(out[-1][3], d)]
+        else:
+            out.append([k, s, e, d])
+    return [tuple(x) for x in out]
+
+
 class Block:
     """The q-gram index of some benchmark items."""
 
@@ -86,8 +102,7 @@ class Block:
             self.ids.append(item_id)
             self.chars.append(chars)
             m = min(width, len(chars))
-            starts = sorted({*range(0, len(chars) - m + 1, max(1, m // 2)), len(chars) - m})
-            self.pieces.append((m, np.array(starts)))
+            self.pieces.append((m, budget(m, q, rate)))
             own = grams(chars, q)
             found.append(own)
             owner.append(np.full(len(own), k))
@@ -133,18 +148,51 @@ class Block:
         order = np.argsort(which, kind="stable")
         ends = np.cumsum(count)
         todo: dict[int, list[tuple[int, int, int]]] = {}
+        out = []
         for n in np.flatnonzero(good):
             rows = busy[order[ends[n] - count[n] : ends[n]]] % len(doc_at)
             k, low = int(names[n]) // bands, (int(names[n]) % bands) * step - self.longest
-            m, starts = self.pieces[k]
-            shared = np.sort(item_at[rows])
-            inside = np.searchsorted(shared, starts + m - self.q, "right") - np.searchsorted(shared, starts)
-            for start in starts[inside >= self.need[k]]:
-                todo.setdefault(m, []).append((k, int(start), low))
-        out = []
+            m, _ = self.pieces[k]
+            likely = self.likely(k, item_at[rows])
+            if not likely.any():
+                continue
+            for a, b, s in self.verbatim(k, chars, doc_at[rows], item_at[rows]):
+                out.append((k, s, s + b - a, 0))
+                likely[a : b - m + 1] = False
+            some = todo.setdefault(m, [])
+            some += [(k, start, low) for start in np.flatnonzero(likely).tolist()]
+            while len(some) >= ALIGNED:
+                out = merged(out + self.align(chars, m, some[:ALIGNED], 2 * step))
+                del some[:ALIGNED]
         for m, some in todo.items():
-            for at in range(0, len(some), 2000):
-                out += self.align(chars, m, some[at : at + 2000], 2 * step)
+            if some:
+                out += self.align(chars, m, some, 2 * step)
+        return out
+
+    def likely(self, k: int, shared: np.ndarray) -> np.ndarray:
+        """Whether the piece from each start of item ``k`` can be within its edits, by the item's shared q-grams."""
+        m, most = self.pieces[k]
+        n = len(self.chars[k]) - self.q + 1
+        missing = np.arange(n + 1)
+        missing[shared] = n
+        missing = np.minimum.accumulate(missing[::-1])[::-1]  # the next one from each place
+        starts = np.arange(len(self.chars[k]) - m + 1)
+        at = missing[starts]
+        for _ in range(most):
+            at = missing[np.minimum(at + self.q, n)]
+        return at > starts + m - self.q
+
+    def verbatim(self, k: int, chars: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, place in ``chars``) of the parts of item ``k`` of a piece or more that stand there unchanged."""
+        order = np.lexsort((item_at, doc_at - item_at))
+        doc_at, item_at = doc_at[order], item_at[order]
+        cuts = np.flatnonzero((np.diff(doc_at) != 1) | (np.diff(item_at) != 1)) + 1
+        first, last = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(order)])) - 1
+        out = []
+        for n in np.flatnonzero(item_at[last] + self.q - item_at[first] >= self.pieces[k][0]):
+            a, b, s = int(item_at[first[n]]), int(item_at[last[n]]) + self.q, int(doc_at[first[n]])
+            if np.array_equal(self.chars[k][a:b], chars[s : s + b - a]):
+                out.append((a, b, s))
         return out
 
     def align(self, chars: np.ndarray, m: int, some: list[tuple[int, int, int]], diagonals: int) -> list[tuple[int, int, int, int]]:
@@ -178,13 +226,7 @@ class Block:
         overlap = self.longest + 4 * (self.most_edits + 1)
         for at in range(0, max(1, len(chars) - overlap), SLICE_CHARS):
             found += [(k, at + s, at + e, d) for k, s, e, d in self.regions(chars[at : at + SLICE_CHARS + overlap])]
-        merged: list[list[int]] = []
-        for k, s, e, d in sorted(found):
-            if merged and merged[-1][0] == k and s <= merged[-1][2]:
-                merged[-1][2:] = [max(merged[-1][2], e), min(merged[-1][3], d)]
-            else:
-                merged.append([k, s, e, d])
-        return [(self.ids[k], int(place[s]), int(place[e - 1]) + 1, d) for k, s, e, d in merged]
+        return [(self.ids[k], int(place[s]), int(place[e - 1]) + 1, d) for k, s, e, d in merged(found)]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
