@@ -413,6 +413,36 @@ def test_discounts():
     assert (d[1:6] > 0).all() and (d[1:6] < 1).all() and d[0] == 0 and d[6] == 1
 
 
+@pytest.mark.parametrize(
+    "n",
+    [  # words and pairs of the given documents, sf0.001 and sf0.01, seen 1 to 6 times in training
+        [16884, 3826, 1232, 564, 512, 208],
+        [45798, 5858, 1223, 308, 371, 88],
+        [51146, 14744, 5459, 2720, 2557, 1132],
+        [206637, 32233, 5107, 1903, 2578, 674],
+        [9, 0, 2, 0, 0, 1],
+        [5, 7, 9, 11, 13, 15],
+        [4, 1, 0, 0, 0, 0],
+    ],
+)
+def test_discounts_of_uneven_counts_are_good_turing(n):
+    import numpy as np
+
+    some = [r for r in range(1, 7) if n[r - 1]]
+    gaps = [b - a for a, b in zip([0, *some], [*some[1:], 2 * some[-1] - some[-2]])]
+    line = np.polyfit([np.log(r) for r in some], [np.log(2 * n[r - 1] / g) for r, g in zip(some, gaps)], 1)
+    smooth = [0, *np.exp(np.polyval(line, np.log(range(1, 7))))]
+    beyond = 6 * smooth[6] / smooth[1]
+    want = [((r + 1) * smooth[r + 1] / smooth[r] / r - beyond) / (1 - beyond) for r in range(1, 6)]
+    d = katz.discounts(n)
+    assert d[1:6].tolist() == pytest.approx(want) and d[0] == 0 and d[6] == 1
+    assert (d[1:6] > 0).all() and (d[1:6] < 1).all() and (np.diff(d) > 0).all()
+    # the smoothing's limit, a table on which Good-Turing estimates are the counts themselves
+    assert katz.discounts([60, 30, 20, 15, 12, 10])[1:6].tolist() == pytest.approx(
+        [1 - np.log(1 + 1 / r) / np.log(6) for r in range(1, 6)], abs=1e-5
+    )
+
+
 def test_packed_arrays():
     import numpy as np
 

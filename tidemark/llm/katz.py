@@ -48,21 +48,29 @@ OWNER = np.uint64(1 << 63)  # set in the answer of the chunk that accounts for a
 def discounts(count_of_counts: list[int]) -> np.ndarray:
     """d(0) = 0, d(1) ... d(UPTO), then 1, from the numbers of entries seen once, twice and so on.
 
-    Good-Turing estimates that are not between 0 and 1, as small tables give, are
-    replaced for all counts by absolute discounting with a half.
+    Good-Turing by Katz's formula, on counts of counts smoothed as in Simple Good-Turing:
+    a line through the logarithms of 1 ... UPTO + 1 and of how many entries were seen
+    that often, each averaged over the gap around it. Raw counts of counts are uneven
+    where texts come in copies and give estimates over one; on a line every estimate
+    lies between 0 and 1. Only where fewer than two counts of counts are there, and so
+    no line, absolute discounting with a half stands in.
     """
     out = np.ones(UPTO + 2)
     out[0] = 0
-    n = [0, *count_of_counts]
-    try:
-        beyond = (UPTO + 1) * n[UPTO + 1] / n[1]
-        for r in range(1, UPTO + 1):
-            out[r] = ((r + 1) * n[r + 1] / n[r] / r - beyond) / (1 - beyond)
-    except ZeroDivisionError:
-        out[1] = 2
-    if not ((out[1:-1] > 0) & (out[1:-1] < 1)).all():
-        r = np.arange(1, UPTO + 1)
+    n = np.array(count_of_counts[: UPTO + 1], float)
+    r = np.arange(1, UPTO + 1)
+    seen = np.flatnonzero(n) + 1
+    if len(seen) < 2:
         out[1:-1] = (r - 0.5) / r
+        return out
+    last, following = np.append(0, seen[:-1]), np.append(seen[1:], 2 * seen[-1] - seen[-2])
+    slope = np.polyfit(np.log(seen), np.log(2 * n[seen - 1] / (following - last)), 1)[0]
+    power = slope + 1  # (r + 1) n(r + 1) / (r n(r)) is (1 + 1 / r) to this power
+    if abs(power) < 1e-6:
+        out[1:-1] = 1 - np.log1p(1 / r) / np.log(UPTO + 1)  # the limit
+    else:
+        beyond = (UPTO + 1) ** power
+        out[1:-1] = ((1 + 1 / r) ** power - beyond) / (1 - beyond)
     return out
 
 
