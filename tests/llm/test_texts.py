@@ -170,6 +170,24 @@ def test_secret_shapes():
         assert spans(f"a {known} b") == []
 
 
+def test_random_strings_without_digits():
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encode = secret_scan._encoding(ranks, public_tokenizers.PATTERN).encode_ordinary
+    kinds = lambda text: [s[0] for s in secret_scan.spans(text, encode, 2.2)]
+    rnd = random.Random(12)
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for signs, least in ((low + up, 995), (low + up + "+/", 990), (up, 990), (low, 970)):
+        made = ["".join(rnd.choices(signs, k=rnd.randint(20, 40))) for _ in range(1000)]
+        assert sum(kinds(f"a {m} b") == ["random"] for m in made) >= least, signs
+    assert kinds("see api-qzvkxjwpfhgbtrnmdlsaqw here") == ["random"]
+    for known in (
+        "getElementsByTagNameAndClass", "AbstractSingletonProxyFactoryBean", "com/example/service/MyFactoryBean", "a/b/c/d/e/f/g/h/i/j/k/l",
+        "Donaudampfschifffahrtsgesellschaft", "antidisestablishmentarianism", "INTERNATIONALIZATION", "gattacagattacagattaca",
+        "aaaaaaaaaaaaaaaaaaaaaaaaaa", "====================", "very-long-kebab-case-identifier", "test_that_nothing_is_found_here",
+    ):
+        assert kinds(f"a {known} b") == [], known
+
+
 def test_escaping_round_trip():
     rnd = random.Random(6)
     bits = [*chat.CONTROL, "\\", "<", "|", "im_end", "[", "INST]", "s>", "a", "\n", "/", "é"]

@@ -5,7 +5,9 @@ key id, a run of hexadecimal digits. Beyond these, a run of letters, digits and
 base64 signs is measured in characters per token of a byte-pair vocabulary.
 Language and names take few tokens; a random string takes one for every two
 characters or fewer. Runs that are random by nature but no secret are passed over
-first: digests of known lengths, UUIDs, numbers, and identifiers made of words.
+first: digests of known lengths, UUIDs, numbers, and identifiers made of words. A run
+without digits, or a long word within an identifier, may be a rare word or camel case
+as well, so it counts as random under a stricter ratio, and only with many letters.
 
 Spans are in code points with the end exclusive. Defined cases: a null or empty text
 has no spans. Repeated rows are scanned separately. An empty table gives no rows.
@@ -38,6 +40,9 @@ DIGEST = re.compile(r"(?:0x)?(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 WORDS_JOINED = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*|[-_/+=]+")
+LONG_WORD = re.compile(r"[A-Za-z]{20,}")
+LETTERS_CHARACTERS = 2.0  # the most characters per token of a random run without digits
+LETTERS_LEAST = 8  # and its least number of different letters; DNA and patterns have fewer
 
 
 @lru_cache(maxsize=2)
@@ -50,13 +55,26 @@ def _encoding(path: str, pattern: str):
 
 
 def is_known(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers."""
+    """Digests, UUIDs and numbers."""
     plain = run.strip("-_=+/")
     if DIGEST.fullmatch(plain) and len(plain.removeprefix("0x")) in DIGEST_LENGTHS:
         return True
-    letters = any(c.isalpha() for c in plain)
-    digits = any(c.isdigit() for c in plain)
-    return not (letters and digits) or bool(UUID.fullmatch(plain) or WORDS_JOINED.fullmatch(run))
+    return not any(map(str.isalpha, plain)) or bool(UUID.fullmatch(plain))
+
+
+def is_random(run: str, encode: Callable[[str], list[int]], most_characters: float) -> bool:
+    def dense(part: str, most: float) -> bool:
+        return len(part) <= most * len(encode(part))
+
+    def dense_letters(part: str) -> bool:
+        several = len({c for c in part.lower() if c.isalpha()}) >= LETTERS_LEAST
+        return several and dense(part, min(most_characters, LETTERS_CHARACTERS))
+
+    if is_known(run):
+        return False
+    if WORDS_JOINED.fullmatch(run):
+        return any(map(dense_letters, LONG_WORD.findall(run)))
+    return dense(run, most_characters) if any(map(str.isdigit, run)) else dense_letters(run)
 
 
 def spans(text: str, encode: Callable[[str], list[int]], most_characters: float) -> list[tuple[str, int, int]]:
@@ -66,9 +84,9 @@ def spans(text: str, encode: Callable[[str], list[int]], most_characters: float)
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in RUN.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for _, s, e in found) or is_known(m[0]):
+        if any(s < end and start < e for _, s, e in found):
             continue
-        if end - start <= most_characters * len(encode(m[0])):
+        if is_random(m[0], encode, most_characters):
             found.append(("random", start, end))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -88,7 +106,8 @@ def scan(
     """(id, n_assign, n_access, n_hex, n_random, base_sha256, spans) per row.
 
     ``ranks`` and ``pattern`` are a tiktoken vocabulary and its splitting pattern; a run
-    of at most ``most_characters`` characters per token counts as random.
+    of at most ``most_characters`` characters per token counts as random, one without
+    digits of at most ``LETTERS_CHARACTERS``.
     """
 
     def make() -> Callable:
