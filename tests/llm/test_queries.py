@@ -117,6 +117,23 @@ def test_op6(spark, folder):
         assert rows[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_op6_counts_every_row_of_repeated_turns(spark, tmp_path):
+    import duckdb
+
+    turns = [(1, 0, "user", "hello")] * 3 + [(1, 1, "assistant", "hi \\ <s>")] * 2 + [(2, 0, None, None), (2, 0, "", "")]
+    tied = [(3, 0, "assistant", t) for t in ("b", "a", "a", None)] + [(3, 0, "user", "q"), (3, 1, "assistant", "z")]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(turns + tied, schema).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = {r["conv_id"]: tuple(r) for r in got(spark, "op6_chat_format", str(tmp_path))}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = {r[0]: r for r in con.execute(queries.ORACLE["op6_chat_format"]).fetchall()}
+    assert rows.keys() == want.keys() and [rows[c][1] for c in (1, 2, 3)] == [5, 2, 6]
+    for c in rows:  # tied turns have no order in SQL, so the hashes of 3 are left out
+        assert [rows[c][k] for k in (1, 3, 5)] == [want[c][k] for k in (1, 3, 5)]
+        assert c == 3 or rows[c] == want[c]
+
+
 def test_op7(spark, folder):
     place, docs, *_ = folder
     want = {r[0]: r for r in brute_katz([(i, t or "") for i, t, *_ in docs], 10)}

@@ -46,15 +46,16 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def fold(events: DataFrame) -> DataFrame:
+def fold(events: DataFrame, message_col: str | None = None) -> DataFrame:
     """Final messages (conv_id, turn, role, text) of events (conv_id, seq, kind, turn, role, text).
 
     ``kind`` is ``delta``, ``edit`` or ``regenerate``; the last two may bring the first
-    text of the new version.
+    text of the new version. Events of one turn and role are one message, or, with
+    ``message_col``, one message for each value of that column.
     """
-    log = events.select(
-        "conv_id", "seq", "kind", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).distinct()
+    key = ["conv_id", "turn", "role", *([message_col] if message_col else [])]
+    said = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    log = events.select("conv_id", "seq", "kind", "turn", *key[3:], *said).distinct()
     redone = log.where("kind = 'regenerate'").groupBy("conv_id", "turn").agg(F.max("seq").alias("at"))
     upto = Window.partitionBy("conv_id").orderBy("turn")
     redone = redone.select(  # from which turn to which one what came before ``cut`` is taken back
@@ -66,12 +67,12 @@ def fold(events: DataFrame) -> DataFrame:
     hit = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("turn") > F.col("after"))
     hit &= F.col("upto").isNull() | (F.col("turn") <= F.col("upto"))
     log = log.join(redone, hit, "left").where("cut is null or seq > cut")
-    message = Window.partitionBy("conv_id", "turn", "role")
+    message = Window.partitionBy(*key)
     restart = F.max(F.when(F.col("kind") != "delta", F.col("seq"))).over(message)
     log = log.withColumn("restart", restart).where("restart is null or seq >= restart")
     parts = F.sort_array(F.collect_list(F.struct("seq", (F.col("kind") == "delta").alias("adds"), "text")))
     return (
-        log.groupBy("conv_id", "turn", "role")
+        log.groupBy(*key)
         .agg(parts.alias("parts"))
         .select("conv_id", "turn", "role", F.array_join(F.col("parts.text"), "").alias("text"))
     )

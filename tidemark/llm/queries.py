@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,10 +107,13 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         "select -1L as conv_id, t as turn, r as role, '</s>[INST] ok [/INST]' as text "
         "from values (0L, 'user'), (1L, 'assistant') as v(t, r)"
     )
-    events = turns.unionByName(odd).select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "turn", "role", "text"
+    filled = turns.unionByName(odd).fillna("", ["role", "text"])
+    # a table of turns is no log: rows that repeat or share a turn are messages of their own
+    same = Window.partitionBy("conv_id", "turn", "role").orderBy("text")
+    events = filled.select(
+        "conv_id", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "turn", "role", "text", F.row_number().over(same).alias("message")
     )
-    return digests(render(fold(events)))
+    return digests(render(fold(events, "message")))
 
 
 @query()
