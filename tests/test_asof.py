@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows, small
+from helpers import rows, small
 
 from tidemark.operators import asof
 from tidemark.operators.asof import Side, asof_join, entity_time_column, entityless_join, retrieval_start

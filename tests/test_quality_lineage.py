@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import rows, small
+from helpers import rows, small
 
 from tidemark.functions.columns import dataset_parts
 from tidemark.operators.lineage import (

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import rows, small
+from helpers import rows, small
 
 from tidemark.functions.columns import combine_embeddings
 from tidemark.operators.docs import build_context, chunk, chunk_spans, embed

@@ -3,7 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows, small
+from helpers import rows, small
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

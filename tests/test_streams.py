@@ -3,7 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows, small
+from helpers import rows, small
 
 from tidemark.operators.aggregate import Aggregation
 from tidemark.operators.tiles import build_tiles, windowed_from_tiles

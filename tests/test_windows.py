@@ -5,7 +5,7 @@ import statistics
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows, small
+from helpers import rows, small
 
 from tidemark.operators import tiles as tiles_module
 from tidemark.operators.aggregate import Aggregation, aggregate, impute_median, minmax
