@@ -161,3 +161,11 @@ def op7_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
     from .katz import fit, score
 
     return score(fit(table(spark, folder, "documents"), folds=10)).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    from .mixing import mix
+
+    return mix(table(spark, folder, "documents"), weights=(1, 2, 3), most=3).withColumnRenamed("id", "doc_id")
