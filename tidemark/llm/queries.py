@@ -169,3 +169,69 @@ def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, folder, "documents"), weights=(1, 2, 3), most=3).withColumnRenamed("id", "doc_id")
+
+
+NEGATIVES_SQL = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as q
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+    select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
+    from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 50 = 0),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+n as (
+    select anchor_id, positive_id, other_id as negative_id, positive_score, score as negative_score,
+        row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank
+    from p join s using (anchor_id)
+    where not same and 100 * score >= 50 * positive_score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+
+@query(NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with every seventh label moved on."""
+    from .hard_negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", moved)
+    return mine(rows, F.col("vec_id") % 50 == 0, scale=256, positives=5, negatives=3, window=(50, 95))
+
+
+PHRASES_SQL = r"""
+with t as (
+    select doc_id, coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from t),
+n as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (
+    select lang, w[s : s + k - 1] as p, k, count(*) as f
+    from (select lang, w, unnest(range(1, len(w) + 1)) as s from w), (select unnest([1, 2, 3, 4]) as k)
+    where s + k - 1 <= len(w) group by all having count(*) >= 30),
+c as (
+    select a.lang, a.p, a.f as a, cut, x.f as l, y.f as r, ((2000000::hugeint * a.f) // (x.f + y.f))::bigint as score
+    from (select *, unnest(range(1, k)) as cut from g where k > 1) a
+    join g x on x.lang = a.lang and x.p = a.p[:cut] join g y on y.lang = a.lang and y.p = a.p[cut + 1:]),
+m as (select * from c qualify row_number() over (partition by lang, p order by score, cut) = 1),
+i as (
+    select lang, p[s : s + j - 1] as p, max(f) as around
+    from (select *, unnest(range(1, k - j + 2)) as s from (select *, unnest(range(2, k)) as j from g where k > 2)) group by all),
+o as (
+    select m.lang, array_to_string(m.p, ' ') as phrase, a, l, r, score from m left join i on i.lang = m.lang and i.p = m.p
+    where around is null or 100 * around < 80 * a),
+z as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from o)
+select lang, rank, phrase, a, l, r, n, score from z join n using (lang) where rank <= 2000
+"""
+
+
+@query(PHRASES_SQL)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best 2000 phrases of every language."""
+    from .collocations import collocations
+
+    return collocations(table(spark, folder, "documents"), least=30, k=2000)
