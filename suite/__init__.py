@@ -43,4 +43,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import documents, lineage, models, quality, rows, storage, streams, timetravel, windows  # noqa: F401
+    from . import documents, lineage, models, quality, rows, storage, stored, streams, timetravel, windows  # noqa: F401

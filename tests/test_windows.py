@@ -118,3 +118,54 @@ def test_impute_and_scale_edges(spark):
     assert rows(filled, "a") == [(1.0,), (2.5,), (4.0,)]
     assert rows(minmax(filled, ["a", "same", "none"])) == [(0.0, 0.0, 0.0), (0.5, 0.0, 0.0), (1.0, 0.0, 0.0)]
     assert rows(impute_median(df, ["a"], exact=False), "a") == [(1.0,), (1.0,), (4.0,)]
+
+
+@pytest.mark.parametrize("hops", [9, 50, 10_000])
+def test_long_windows_over_few_tiles(spark, hops):
+    rnd = random.Random(hops)
+    at = sorted(rnd.sample(range(-3 * hops, 3 * hops), 40))
+    data = [(k, T0 + h * HOUR, round(rnd.uniform(-9, 9), 2)) for k in (1, 2) for h in at if rnd.random() < 0.8]
+    data += [(3, T0, None), (3, T0 + HOUR, 5.0)]
+    specs = [Aggregation("v", f, h * HOUR) for f in FUNCTIONS for h in (hops, 3)]
+    got = aggregate_tiled(small(spark, data, "k int, ts timestamp, v double"), ["k"], specs, "ts", HOUR, dense=False).collect()
+    hop_of = lambda ts: int((ts - T0) / HOUR)
+    assert len(got) == len(data)
+    for r in got:
+        end = hop_of(r["window_end"])
+        for h in (hops, 3):
+            v = [x for k, ts, x in data if k == r["k"] and end - h <= hop_of(ts) < end and x is not None]
+            name = f"{{}}_v_{h * 3600}s".format
+            assert r[name("sum")] == pytest.approx(sum(v)) and r[name("count")] == len(v)
+            assert (r[name("min")], r[name("max")]) == (min(v, default=None), max(v, default=None))
+            want = statistics.variance(v) if len(v) > 1 else None
+            assert r[name("var")] == (want if want is None else pytest.approx(want, abs=1e-9))
+    plan = aggregate_tiled(small(spark, data, "k int, ts timestamp, v double"), ["k"], specs, "ts", HOUR, dense=False)
+    assert "RangeFrame, -9999" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_span_holds_every_change(spark):
+    data = events(5, 25, 400)
+    specs = [Aggregation("v", f, h * HOUR) for f in FUNCTIONS for h in (3, 10)]
+    df = small(spark, data, "k int, ts timestamp, v double")
+    dense = {(r["k"], r["window_end"]): tuple(r)[2:] for r in aggregate_tiled(df, ["k"], specs, "ts", HOUR).collect()}
+    span = {(r["k"], r["window_end"]): tuple(r)[2:] for r in aggregate_tiled(df, ["k"], specs, "ts", HOUR, dense="span").collect()}
+    assert len(span) < len(dense) / 2
+    for key in {k for k, _ in dense}:
+        last = None
+        for end in sorted(e for k, e in dense if k == key):
+            last = span.get((key, end), last)
+            if last is None:  # before the key's first row
+                assert dense[key, end][0] == 0.0
+            else:
+                assert last == pytest.approx(dense[key, end], abs=1e-6, nan_ok=True)
+
+
+def test_latest_spread_needs_no_lists(spark):
+    data = [(k, T0 + h * HOUR, 1e8 + (h * 7 + k) % 5) for k in (1, 2) for h in range(30)]
+    specs = [Aggregation("v", f, 20 * HOUR) for f in ("std", "var", "avg")]
+    df = small(spark, data, "k int, ts timestamp, v double")
+    out = aggregate_tiled(df, ["k"], specs, "ts", HOUR, latest_only=True)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        v = [x for k, ts, x in data if k == r["k"]][-20:]
+        assert r["var_v_72000s"] == pytest.approx(statistics.variance(v), rel=1e-9)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructType
 
@@ -154,6 +154,24 @@ def require(results: DataFrame) -> None:
         raise ValidationError("; ".join(f"{r['kind']}({r['column_name']})" for r in failed))
 
 
+def observed(df: DataFrame, suite: list[Check]) -> tuple[DataFrame, Observation]:
+    """``df`` with the suite's results gathered by the run that writes its rows.
+
+    A stage that is run again after a lost executor counts its rows again, which can
+    move a share but not make a value that is out of bounds.
+    """
+    found = Observation()
+    results = [_result(c, c.column in df.columns).alias(f"c{i}") for i, c in enumerate(suite)]
+    return df.observe(found, *results), found
+
+
+def require_observed(found: Observation) -> None:
+    """Raise when a check failed, once the run that gathers the results has ended."""
+    failed = [r for r in found.get.values() if not r["success"]]
+    if failed:
+        raise ValidationError("; ".join(f"{r['kind']}({r['column_name']})" for r in failed))
+
+
 def validate_against(df: DataFrame, reference: DataFrame, profiler: Profiler = profile) -> DataFrame:
     return validate(df, profiler(reference))
 

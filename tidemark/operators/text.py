@@ -127,16 +127,19 @@ def _query_matrix(asked: DataFrame, qid: str, limit: int):
     return terms, qids, matrix
 
 
-def _bags(df: DataFrame, doc: str, text: Column, terms: dict[str, int], stem: bool = False) -> DataFrame:
-    """Per row its length and the numbers of its words that some query asks for.
+def _bags(
+    df: DataFrame, doc: str, text: Column, terms: dict[str, int], stem: bool = False, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row its length and the numbers of its words that some query asks for, and the columns ``also``.
 
     The words are looked up batch by batch where the rows lie; nothing is shuffled
     and every row stays a document of its own.
     """
-    rows = spread_small(df.select(doc, text.alias("_text"))).select(doc, tokens("_text").alias("_w"))
+    rows = spread_small(df.select(doc, text.alias("_text"), *also)).select(doc, tokens("_text").alias("_w"), *also)
     # bounded by the check of the query matrix
     sent = df.sparkSession.sparkContext.broadcast(list(terms))
     ddl = f"`{doc}` {df.schema[doc].dataType.simpleString()}, length int, words array<int>"
+    ddl = ", ".join([ddl, *[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in also]])
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +156,7 @@ def _bags(df: DataFrame, doc: str, text: Column, terms: dict[str, int], stem: bo
             per_row = np.bincount(np.repeat(np.arange(len(length)), length)[known], minlength=len(length))
             ends = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype("int32"))
             found = pa.ListArray.from_arrays(ends, flat.drop_null().cast(pa.int32()))
-            columns = (batch.column(0), pa.array(length), found)
+            columns = (batch.column(0), pa.array(length), found, *batch.columns[2:])
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return rows.mapInArrow(run, ddl)

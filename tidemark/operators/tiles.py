@@ -82,14 +82,14 @@ def _kind(partial: str) -> str:
     return partial.rsplit("__", 1)[1]
 
 
-def _moments(column: str, where: Column | None = None) -> Column:
+def _moments(column: str) -> Column:
     """Aggregate: count, mean and m2 of several tiles of a group, merged pairwise.
 
-    The tiles of a group are those of one hop and its batches, or of one window.
+    The tiles of a group are those of one hop and its batches.
     """
     part = F.struct(*[F.col(f"{column}__{p}").cast("double").alias(p) for p in ("count", "mean", "m2")])
     used = F.col(f"{column}__count") > 0
-    parts = F.collect_list(F.when(used if where is None else used & where, part))
+    parts = F.collect_list(F.when(used, part))
 
     def merge(a: Column, b: Column) -> Column:
         n, d = a["count"] + b["count"], b["mean"] - a["mean"]
@@ -102,6 +102,29 @@ def _moments(column: str, where: Column | None = None) -> Column:
     return F.when(F.size(parts) > 0, F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, F.lit(0)), merge))
 
 
+def _span(tiles: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """Every key's own hops: from its first one on, as long as a window of ``longest`` hops holds a tile, and one more.
+
+    The one more is where all windows have become empty; up to the next tile nothing
+    changes any more. No hop lies after the newest of all tiles.
+    """
+    last = tiles.agg(F.max("hop")).scalar()
+    after = F.lead("hop").over(W.partitionBy(*keys).orderBy("hop")) - 1
+    stop = F.least(after, last, F.col("hop") + longest)  # ignores the null of a key's last tile
+    partials = [c for c in tiles.columns if c not in (*keys, "hop")]
+    spread = tiles.withColumn("_stop", stop).withColumn("_at", F.explode(F.sequence("hop", "_stop")))
+    own = F.col("_at") == F.col("hop")
+    return spread.select(*keys, F.col("_at").alias("hop"), *_own_partials(partials, own))
+
+
+def _own_partials(partials: list[str], own: Column) -> list[Column]:
+    """A tile's partials at its own hop; at others those of no rows."""
+    return [
+        (F.coalesce(F.when(own, F.col(p)), F.lit(0)) if MERGE.get(_kind(p)) is F.sum else F.when(own, F.col(p))).alias(p)
+        for p in partials
+    ]
+
+
 def densify(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """Fill every key's missing hops between the first and last hop of all tiles.
 
@@ -125,10 +148,7 @@ def _grid(tiles: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         F.col("_at").alias("hop"),
         (F.col("_at") - ends["lo"]).alias("_index"),
-        *[
-            (F.coalesce(F.when(own, F.col(p)), F.lit(0)) if MERGE.get(_kind(p)) is F.sum else F.when(own, F.col(p))).alias(p)
-            for p in partials
-        ],
+        *_own_partials(partials, own),
     )
 
 
@@ -167,27 +187,18 @@ def windowed_from_tiles(
 ) -> DataFrame:
     """The value of every spec over the window that ends where each tile ends.
 
-    Each partial is merged once per window length. On a dense grid (``_grid``) long
-    windows take constant work per row, see ``_merge_dense``; otherwise a range
-    frame over hop numbers visits the tiles of the window.
+    Each partial is merged once per window length. Long windows take constant work
+    per row, on a dense grid (``_grid``, see ``_merge_dense``) and on a key's own tiles
+    (``_merge_sparse``); a short one is a range frame over hop numbers.
     """
     needs = {s: [SHIFTED.get(p, p) for p in PARTIALS[s.function]] for s in specs}
     parts = list(dict.fromkeys((_back(s, hop), f"{s.column}__{p}") for s in specs for p in needs[s]))
     name = {part: f"_w{part[0]}_{part[1]}" for part in parts}
-    out = tiles
-    for c in {s.column for s in specs if "m2" in PARTIALS[s.function]}:
-        n, mean, m2 = (F.col(f"{c}__{p}") for p in ("count", "mean", "m2"))
-        off = mean - F.first(mean, ignorenulls=True).over(W.partitionBy(*keys).orderBy("hop"))
-        out = out.withColumn("_off", off).withColumns(
-            {
-                f"{c}__dev": F.coalesce(n * F.col("_off"), F.lit(0.0)),
-                f"{c}__dev_sq": F.coalesce(m2 + n * F.col("_off") * F.col("_off"), F.lit(0.0)),
-            }
-        ).drop("_off")
+    out = _shifted(tiles, keys, specs)
     for hops in dict.fromkeys(h for h, _ in parts):
         mine = [c for h, c in parts if h == hops]
-        if dense and hops > SHORT_WINDOW:
-            out = _merge_dense(out, keys, hops, {c: name[hops, c] for c in mine})
+        if hops > SHORT_WINDOW:
+            out = (_merge_dense if dense else _merge_sparse)(out, keys, hops, {c: name[hops, c] for c in mine})
         else:
             w = W.partitionBy(*keys).orderBy("hop").rangeBetween(-(hops - 1), 0)
             out = out.withColumns({name[hops, c]: MERGE[c.rsplit("__", 1)[1]](c).over(w) for c in mine})
@@ -199,6 +210,20 @@ def windowed_from_tiles(
     return out.select(*keys, end.alias(ts_as), *cols)
 
 
+def _shifted(tiles: DataFrame, keys: list[str], specs: list[Aggregation]) -> DataFrame:
+    """Adds, for columns whose spread is asked for, sums of distances from one mean of the key (see ``SHIFTED``)."""
+    for c in dict.fromkeys(s.column for s in specs if "m2" in PARTIALS[s.function]):
+        n, mean, m2 = (F.col(f"{c}__{p}") for p in ("count", "mean", "m2"))
+        off = mean - F.first(mean, ignorenulls=True).over(W.partitionBy(*keys).orderBy("hop"))
+        tiles = tiles.withColumn("_off", off).withColumns(
+            {
+                f"{c}__dev": F.coalesce(n * F.col("_off"), F.lit(0.0)),
+                f"{c}__dev_sq": F.coalesce(m2 + n * F.col("_off") * F.col("_off"), F.lit(0.0)),
+            }
+        ).drop("_off")
+    return tiles
+
+
 def _merge_dense(tiles: DataFrame, keys: list[str], hops: int, columns: dict[str, str]) -> DataFrame:
     """Merge partials over the last ``hops`` rows of a dense grid, any length at the same cost.
 
@@ -226,6 +251,42 @@ def _merge_dense(tiles: DataFrame, keys: list[str], hops: int, columns: dict[str
     return out.withColumns(both).drop("_block", *[f"_{x}_{c}" for x in "rs" for c in columns])
 
 
+def _merge_sparse(tiles: DataFrame, keys: list[str], hops: int, columns: dict[str, str]) -> DataFrame:
+    """The same over a key's own tiles, whatever lies between them: linear in the tiles.
+
+    Blocks are as long as the window and counted from hop zero. The rest of the block
+    before is that of its first tile inside the window, found by one pass from the end
+    over tiles and over the places where windows begin.
+    """
+    def block(at: Column) -> Column:
+        return F.call_function("div", at - F.pmod(at, F.lit(hops)), F.lit(hops))
+
+    merge = {c: MERGE[c.rsplit("__", 1)[1]] for c in columns}
+    start = W.partitionBy(*keys, "_block").orderBy("hop").rowsBetween(W.unboundedPreceding, 0)
+    rest = W.partitionBy(*keys, "_block").orderBy(F.desc("hop")).rowsBetween(W.unboundedPreceding, 0)
+    out = tiles.withColumn("_block", block(F.col("hop")))
+    out = out.withColumns({f"_r_{c}": merge[c](c).over(rest) for c in columns})
+    out = out.withColumns({f"_s_{c}": merge[c](c).over(start) for c in columns})
+    out = out.withColumn("_rest", F.struct(*[f"_r_{c}" for c in columns]))
+    begins = F.col("hop") - (hops - 1)
+    place = [F.struct(F.lit(1).alias("tile"), F.col("hop").alias("at")), F.struct(F.lit(0).alias("tile"), begins.alias("at"))]
+    both = out.withColumn("_place", F.explode(F.array(*place)))
+    both = both.withColumn("_part", block(F.col("_place.at")))
+    back = W.partitionBy(*keys, "_part").orderBy(F.desc("_place.at"), F.desc("_place.tile")).rowsBetween(W.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("_place.tile") == 1, F.col("_rest")), ignorenulls=True).over(back)
+    both = both.withColumn("_found", found).where(F.col("_place.tile") == 0)
+    before = F.when(F.col("_part") < F.col("_block"), F.col("_found"))  # else the window is the block
+    merged = {}
+    for c, to in columns.items():
+        a, b = F.col(f"_s_{c}"), before[f"_r_{c}"]
+        if merge[c] is F.sum:
+            merged[to] = F.coalesce(a + b, a, b)
+        else:
+            merged[to] = (F.least if merge[c] is F.min else F.greatest)(a, b)  # both ignore nulls
+    drop = ["_block", "_rest", "_place", "_part", "_found", *[f"_{x}_{c}" for x in "rs" for c in columns]]
+    return both.withColumns(merged).drop(*drop)
+
+
 def latest_from_tiles(
     tiles: DataFrame, keys: list[str], specs: list[Aggregation], hop: timedelta, ts_as: str = "window_end", dense: bool = True
 ) -> DataFrame:
@@ -237,19 +298,16 @@ def latest_from_tiles(
         tiles = tiles.withColumn("_last", tiles.agg(F.max("hop")).scalar())
     else:
         tiles = tiles.withColumn("_last", F.max("hop").over(W.partitionBy(*keys)))
+    tiles = _shifted(tiles, keys, specs)
     aggs, cols = {}, []
     for s in specs:
         hops = _back(s, hop)
         inside = F.col("hop") > F.col("_last") - hops
         part = {}
-        for p in PARTIALS[s.function]:
-            if p in SHIFTED:
-                aggs[f"_w{hops}_{s.column}"] = _moments(s.column, inside)
-                part[p] = F.col(f"_w{hops}_{s.column}")[p]
-            else:
-                aggs[f"_w{hops}_{s.column}__{p}"] = MERGE[p](F.when(inside, F.col(f"{s.column}__{p}")))
-                part[p] = F.col(f"_w{hops}_{s.column}__{p}")
-                part[p] = F.coalesce(part[p], F.lit(0)) if p == "count" else part[p]
+        for p in [SHIFTED.get(p, p) for p in PARTIALS[s.function]]:
+            aggs[f"_w{hops}_{s.column}__{p}"] = MERGE[p](F.when(inside, F.col(f"{s.column}__{p}")))
+            part[p] = F.col(f"_w{hops}_{s.column}__{p}")
+            part[p] = F.coalesce(part[p], F.lit(0)) if p == "count" else part[p]
         cols.append(_combine(s.function, part).alias(s.output))
     out = tiles.groupBy(*keys, "_last").agg(*[a.alias(n) for n, a in aggs.items()])
     end = F.timestamp_micros((F.col("_last") + 1) * F.lit(_micros(hop)))
@@ -262,18 +320,21 @@ def aggregate_tiled(
     specs: list[Aggregation],
     ts: str,
     hop: timedelta = timedelta(minutes=5),
-    dense: bool = True,
+    dense: bool | str = True,
     latest_only: bool = False,
     ts_as: str = "window_end",
 ) -> DataFrame:
     """All windows of all specs in one result, one row per key and tile end.
 
-    ``dense`` also gives tile ends without own data; ``latest_only`` keeps the
-    newest tile end per key.
+    ``dense`` also gives the tile ends without own data: all there are among all keys,
+    or with ``"span"`` those of a key at which some window still holds a row of it,
+    and the first at which none does. ``latest_only`` keeps the newest tile end per key.
     """
     tiles = build_tiles(df, keys, specs, ts, hop)
     if latest_only:
-        return latest_from_tiles(tiles, keys, specs, hop, ts_as, dense)
+        return latest_from_tiles(tiles, keys, specs, hop, ts_as, bool(dense))
+    if dense == "span":
+        return windowed_from_tiles(_span(tiles, keys, max(_back(s, hop) for s in specs)), keys, specs, hop, ts_as)
     if dense:
         tiles = _grid(tiles, keys)
     return windowed_from_tiles(tiles, keys, specs, hop, ts_as, dense)

@@ -12,11 +12,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.columns import cosine, dot, l1, l2
 from ..session import ONE_TASK_BYTES, shuffle_partitions
 from .latest import top_rows
-from .text import contains_any, match_all
+from .text import MATRIX_BYTES, _bags, _query_matrix, contains_any, joined_text, query_terms
 from .topk import DIGITS, Best
 
 METRICS = ("cosine", "l2", "l1", "inner_product")
@@ -285,10 +287,71 @@ def hybrid_search(
 
 def hybrid_ranked(
     docs: DataFrame, columns: list[str], queries: DataFrame, id_: str, vec: str,
-    qid: str, qtext: str, qvec: str, metric: str = "cosine", k: int = 10,
+    qid: str, qtext: str, qvec: str, metric: str = "cosine", k: int = 10, query_bytes: int = MATRIX_BYTES,
 ) -> DataFrame:
-    """Documents with every term of the query, nearest vector first, with text rank."""
-    matched = match_all(docs, id_, columns, queries, qid, qtext)
-    pairs = matched.join(queries.select(qid, qvec), qid).join(docs.select(id_, vec), id_)
-    near = pairs.select(qid, id_, "text_rank", F.round(distance(vec, qvec, metric), DIGITS).alias("distance"))
-    return top_rows(near, [qid], [F.asc("distance"), F.asc(id_)], k, "rank")
+    """Documents with every term of the query, nearest vector first, with text rank.
+
+    Terms are matched and distances taken in the document's task, which emits k rows
+    per query however many documents match. Queries whose terms or vectors pass
+    ``query_bytes`` are asked in parts, each with a scan of the documents.
+    """
+    asked = queries.select(qid, qtext, qvec).dropna()
+    found = _ranked_in_parts(docs.dropna(subset=[vec]), joined_text(columns), asked, id_, vec, qid, qtext, qvec, metric, k, query_bytes, 0)
+    return top_rows(found, [qid], [F.asc("distance"), F.asc(id_)], k, "rank")
+
+
+def _ranked_in_parts(docs, text, asked, id_, vec, qid, qtext, qvec, metric, k, query_bytes, depth) -> DataFrame:
+    terms = query_terms(asked, qid, qtext)
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("dim")).first()
+    known = None
+    if (size["n"] or 0) * (size["dim"] or 0) * 8 <= query_bytes:
+        known = _query_matrix(terms, qid, query_bytes)
+    if known is None and size["n"] > 1:
+        parts = [asked.where(F.pmod(F.shiftright(F.xxhash64(qid), depth), F.lit(2)) == b) for b in (0, 1)]
+        halves = [_ranked_in_parts(docs, text, p, id_, vec, qid, qtext, qvec, metric, k, query_bytes, depth + 1) for p in parts]
+        return halves[0].unionByName(halves[1])
+    known = known or _query_matrix(terms, qid, 1 << 62)  # of a single query
+    numbers, qids, matrix = known
+    vectors = {r[0]: r[1] for r in asked.select(qid, qvec).collect()}  # within the limit
+    q = [np.array(vectors[one], float) for one in qids]
+    bags = _bags(docs, id_, text, numbers, also=(vec,))
+    sent = docs.sparkSession.sparkContext.broadcast((qids, matrix, q))
+    kinds = asked.schema[qid].dataType.simpleString(), docs.schema[id_].dataType.simpleString()
+    ddl = f"`{qid}` {kinds[0]}, `{id_}` {kinds[1]}, text_rank double, distance double"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, matrix, q = sent.value
+        width, wanted = len(matrix), matrix.sum(axis=0)
+        best = [(np.empty(0), np.empty(0), None)] * len(qids)  # distance, share, id
+        for big in batches:
+            step = max(1, 4_000_000 // max(*matrix.shape, 1))
+            for first in range(0, big.num_rows, step):
+                batch = big.slice(first, step)
+                n, words = batch.num_rows, batch.column(2)
+                row = np.repeat(np.arange(n), words.value_lengths().to_numpy(zero_copy_only=False))
+                flat = row * width + words.flatten().to_numpy(zero_copy_only=False)
+                tf = np.bincount(flat.astype("int64"), minlength=n * width).reshape(n, width).astype("float64")
+                ok = (tf > 0).astype("float32") @ matrix.astype("float32") == wanted
+                if not ok.any():
+                    continue
+                some = np.flatnonzero(ok.any(axis=1))
+                share = (tf[some] @ matrix) / batch.column(1).to_numpy(zero_copy_only=False)[some].astype("float64")[:, None]
+                kept = batch.take(pa.array(some))
+                ids, x = np.array(kept.column(0).to_pylist()), _matrix(kept.column(3), len(q[0]))
+                for j in np.flatnonzero(ok.any(axis=0)):
+                    mine = ok[some, j]
+                    d = np.round(_distances(x[mine], q[j][None, :], metric)[0], DIGITS)
+                    there = ~np.isnan(d)
+                    old_d, old_share, old_ids = best[j]
+                    own = ids[mine][there]
+                    d = np.concatenate([old_d, d[there]])
+                    rank = np.concatenate([old_share, np.round(share[mine, j][there], DIGITS)])
+                    own = own if old_ids is None else np.concatenate([old_ids, own])
+                    order = np.lexsort((own, d))[:k]
+                    best[j] = d[order], rank[order], own[order]
+        rows = [(one, i, s, d) for one, (ds, shares, ids) in zip(qids, best) if ids is not None for i, s, d in zip(ids.tolist(), shares, ds)]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return bags.mapInArrow(run, ddl)

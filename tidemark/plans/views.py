@@ -92,34 +92,39 @@ class View:
         """The view's transform of its inputs; without one, its single input."""
         return inputs[0] if self.transform is None else _apply(self.transform, self.mode, self.name, inputs, spark)
 
-    def build(self, spark: SparkSession, start=None, end=None, memo: dict | None = None) -> DataFrame:
-        """Source → transform or join → filter → aggregate or latest row → projection."""
+    def build(self, spark: SparkSession, start=None, end=None, memo: dict | None = None, checked: bool = True) -> DataFrame:
+        """Source → transform or join → filter → aggregate or latest row → projection.
+
+        Without ``checked`` the declared checks are left to the run that writes the rows.
+        """
         out = self.rows(spark, start, end, memo)
         if self.aggregations:
-            return self.check(self.aggregated(out, latest_only=True))
+            return self.check(self.aggregated(out, latest_only=True), checked)
         if self.ts in out.columns:
             out = latest_per_key(out, list(self.keys), self.ts, self.created, [self.tie] if self.tie else [])
         named = dict.fromkeys([*self.keys, *self.features, self.ts, self.created])
-        return self.check(out.select(*[c for c in named if c in out.columns or c in self.features]))
+        return self.check(out.select(*[c for c in named if c in out.columns or c in self.features]), checked)
 
     def aggregated(self, rows: DataFrame, latest_only: bool = False) -> DataFrame:
         """The window aggregates of the view's rows; tiled ones of every hop unless only the latest is asked for."""
         specs, keys = list(self.aggregations), list(self.keys)
         if self.hop:
-            return aggregate_tiled(rows, keys, specs, self.ts, self.hop, latest_only=latest_only, ts_as=self.ts)
+            # past values of a key need the ends at which one of its windows changes
+            dense = True if latest_only else "span"
+            return aggregate_tiled(rows, keys, specs, self.ts, self.hop, dense, latest_only, ts_as=self.ts)
         return aggregate(rows, keys, specs, self.ts)
 
     def provides(self) -> tuple[str, ...]:
         """Names that may be asked for: the declared features, or the outputs of the aggregations."""
         return tuple(dict.fromkeys((*self.features, *(a.output for a in self.aggregations))))
 
-    def check(self, df: DataFrame) -> DataFrame:
-        """Raise on a failed declared check (runs one job when there are any)."""
+    def check(self, df: DataFrame, checked: bool = True) -> DataFrame:
+        """Raise on a wrong schema and, if ``checked``, on a failed declared check (which runs a job)."""
         if self.schema is not None:
             errors = check_schema(df, self.schema).filter("level = 'error'")
             if not errors.isEmpty():
                 raise ValueError(f"view {self.name}: missing columns")
-        if self.checks:
+        if self.checks and checked:
             require(validate(df, list(self.checks)))
         return df
 
@@ -232,6 +237,24 @@ class OnDemandView:
         return with_made.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col(f"_made.`{n}`") for n in names])
 
 
+@dataclass(frozen=True)
+class StreamView(View):
+    """A view whose rows come from a stream; its batch source holds the past.
+
+    ``stream`` opens the stream. Windows of ``aggregations`` close when the watermark,
+    ``watermark`` behind the newest event, passes their end; see ``streaming.ingest.run_view``.
+    """
+
+    stream: Callable[[SparkSession], DataFrame] | None = None
+    watermark: str = "0 seconds"
+
+    def stream_rows(self, spark: SparkSession) -> DataFrame:
+        """The stream, transformed and filtered as the batch source's rows are."""
+        if self.stream is None:
+            raise ValueError(f"view {self.name} has no stream")
+        return filter_expr(self.transformed([self.stream(spark)], spark), self.where)
+
+
 @dataclass(frozen=True)
 class Service:
     """A named bundle of ``view:feature`` references."""
@@ -245,6 +268,11 @@ def batch_view(**spec) -> Callable[[Callable], View]:
     return lambda fn: View(name=spec.pop("name", fn.__name__), transform=fn, **spec)
 
 
+def stream_view(**spec) -> Callable[[Callable], StreamView]:
+    """Decorator: the function becomes the transform of a view fed by a stream, and of its batch source."""
+    return lambda fn: StreamView(name=spec.pop("name", fn.__name__), transform=fn, **spec)
+
+
 def on_demand_view(**spec) -> Callable[[Callable], OnDemandView]:
     """Decorator: the function computes the on-demand features."""
     return lambda fn: OnDemandView(name=spec.pop("name", fn.__name__), fn=fn, **spec)

@@ -15,7 +15,9 @@ from ..operators.asof import asof_join, entity_time_column, entityless_join
 from ..operators.joins import lookup
 from ..operators.latest import pull_latest
 from ..operators.project import conform
-from ..sources.write import LatestTable, new_writer, read_batches, write_batch
+from ..operators.quality import Check, observed, require_observed
+from ..session import written
+from ..sources.write import PUSHES, LatestTable, append_batch, one_off, read_batches, write_batch
 from .views import OnDemandView, Service, View, resolve
 
 PUSH_TARGETS = ("online", "offline", "online_and_offline")
@@ -46,23 +48,39 @@ class Workspace:
         return os.path.join(self.root, "offline", view)
 
     def write_view(
-        self, df: DataFrame, view: str, to: str = "online", batch: int = 0, writer: str | None = None
+        self, df: DataFrame, view: str, to: str = "online", batch: int = 0, writer: str | None = None, suite: tuple[Check, ...] = ()
     ) -> None:
         """Write rows to the view's online and/or offline table.
 
         A ``writer`` that numbers its batches, such as a stream, may write one again
-        without effect, and vouches for the columns. Without one the rows are a batch
-        of their own and are checked against the table.
+        without effect, and vouches for the columns. Without one the rows are checked
+        against the table and added. The checks of ``suite`` are made by the run that
+        writes the rows; when one fails, what was written is withdrawn.
         """
         if to not in PUSH_TARGETS:
             raise ValueError(f"unknown target {to!r}")
+        approve = None
+        if suite:
+            df, found = observed(df, list(suite))
+
+            def approve() -> None:
+                require_observed(found)
+
+        if to == "online_and_offline" and writer is None:  # the rows are computed once
+            df = written(df, "view")
+            if approve:
+                approve()
+                approve = None
         if to != "offline":
-            self.online(view).upsert(df, batch, writer)
+            self.online(view).upsert(df, batch, writer, approve)
         if to != "online":
             path = self.offline_path(view)
             if writer is None and (schema := self._schema(path)):  # the first write defines the table
                 df = conform(df, schema)
-            write_batch(df, path, writer or new_writer(), batch)
+            if writer is None and approve is None:
+                append_batch(df, path)
+            else:
+                write_batch(df, path, writer or PUSHES, batch if writer else one_off(), approve)
 
     def _schema(self, path: str) -> StructType | None:
         try:
@@ -145,8 +163,9 @@ class Workspace:
                 wanted.setdefault(view, []).append(feature)
         for view, features in wanted.items():
             v = self.views[view]
-            stored = self.online(view).read(self.spark).withColumnsRenamed(v.key_map)
             keys = [v.key_map.get(k, k) for k in v.keys]
+            asked = requests.select(*[F.col(named).alias(k) for k, named in zip(v.keys, keys)])
+            stored = self.online(view).read_keys(asked).withColumnsRenamed(v.key_map)
             features = list(dict.fromkeys(features))
             found = lookup(stored, out, keys, features, v.ts, now, v.ttl).drop(v.ts)
             if full_names:
@@ -167,9 +186,9 @@ class Workspace:
         memo: dict = {}
         for name in views or list(self.views):
             v = self.views[name]
-            df = v.build(self.spark, start, end, memo)
+            df = v.build(self.spark, start, end, memo, checked=False)
             to = "online_and_offline" if v.online and v.offline else "offline" if v.offline else "online"
-            self.write_view(df, name, to)
+            self.write_view(df, name, to, suite=v.checks)
             self._record(name, start, end)
 
     def materialize_incremental(self, end: datetime, views: list[str] | None = None, now: datetime | None = None) -> None:

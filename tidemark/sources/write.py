@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
-from operator import or_
+from typing import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import ts_range
 from ..operators.joins import NOT_FOUND, PRESENT
 from ..operators.latest import latest_per_key, top_rows
 from ..operators.project import conform
+from ..session import fits_one_task
+from .pointer import Pointer
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", properties: dict | None = None) -> None:
@@ -92,87 +94,193 @@ def merge_latest(updates: DataFrame, table: str, keys: list[str], ts: str) -> No
     rows.alias("source").mergeInto(table, F.expr(same)).whenMatched(newer).updateAll().whenNotMatched().insertAll().merge()
 
 
-def new_writer() -> str:
-    """A name no other writer has."""
-    return f"w{uuid.uuid4().hex}"
+PUSHES = "pushes"  # stands for all writers that don't number their batches
+FOLDED = "folded"
 
 
-def write_batch(df: DataFrame, path: str, writer: str, batch: int) -> None:
+def one_off() -> int:
+    """A batch number nobody else has."""
+    return uuid.uuid4().int >> 66
+
+
+def write_batch(df: DataFrame, path: str, writer: str, batch: int, approve: Callable[[], None] | None = None) -> None:
     """Write rows as one partition named by who writes and by the writer's own batch number.
 
     Writing a batch again replaces just that partition, so a replay changes nothing
-    and no two writers touch each other's rows.
+    and no two writers touch each other's rows. When ``approve`` raises, the partition
+    is removed again.
     """
-    named = df.withColumn("batch_writer", F.lit(writer)).withColumn("batch_number", F.lit(batch).cast("long"))
     (
-        named.write.mode("overwrite")
+        _named(df, writer, batch).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_writer", "batch_number")
         .parquet(path)
     )
+    if approve:
+        try:
+            approve()
+        except Exception:
+            Pointer(df.sparkSession, path).remove(f"{path}/batch_writer={writer}/batch_number={batch}")
+            raise
+
+
+def append_batch(df: DataFrame, path: str, today: date | None = None) -> None:
+    """Add rows of a writer that doesn't number its batches to the partition of the day."""
+    day = int((today or date.today()).strftime("%Y%m%d"))
+    _named(df, PUSHES, day).write.mode("append").partitionBy("batch_writer", "batch_number").parquet(path)
+
+
+def _named(df: DataFrame, writer: str, batch: int) -> DataFrame:
+    return df.withColumn("batch_writer", F.lit(writer)).withColumn("batch_number", F.lit(batch).cast("long"))
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", False).parquet(path).withColumn("batch_writer", F.col("batch_writer").cast("string"))
+    return _typed(spark.read.option("mergeSchema", False).parquet(path))
 
 
-def _among(partitions: list[Row]) -> Column:
-    """Whether a row lies in one of the partitions; a filter that prunes folders."""
-    numbers: dict[str, list[int]] = {}
-    for writer, number in partitions:
-        numbers.setdefault(writer, []).append(number)
-    parts = [(F.col("batch_writer") == w) & F.col("batch_number").isin(n) for w, n in numbers.items()]
-    return reduce(or_, parts, F.lit(False))
+def _typed(df: DataFrame) -> DataFrame:
+    """Names of partitions as text and numbers, whatever they look like."""
+    return df.withColumn("batch_writer", F.col("batch_writer").cast("string")).withColumn("batch_number", F.col("batch_number").cast("long"))
 
 
 @dataclass(frozen=True)
 class LatestTable:
-    """A latest-value table on parquet.
-
-    Each upsert adds one small partition, see ``write_batch``; several streams,
-    pushes and materialisations may write at once. Reading keeps the newest row
-    per key. ``compact`` puts the current state into one partition and lists the
-    partitions it stands for, which reads then pass over.
+    """A latest-value table on parquet: a base bucketed by key, and a few batches written since.
+
+    Each upsert adds one small partition, see ``write_batch``, and names it in the
+    table's ``Pointer``; several streams, pushes and materialisations may write at
+    once. Reading keeps the newest row per key. The batch that makes ``most`` folds
+    them all into one, or into the base once together they have a quarter of its rows,
+    so a read lists a bounded number of folders however many upserts there were. What
+    was folded is removed a few versions later. ``read_keys`` reads the buckets of the
+    keys asked for, and of the base nothing else.
     """
 
     path: str
     keys: tuple[str, ...]
     ts: str
     created: str | None = None
+    buckets: int = 32
+    most: int = 16
 
-    def upsert(self, df: DataFrame, batch: int = 0, writer: str | None = None) -> None:
-        """Write the newest row per key of ``df``; a stream gives its own id and its batch number."""
-        rows = latest_per_key(df, list(self.keys), self.ts, self.created)
-        write_batch(rows.withColumn("batch_time", F.current_timestamp()), self.path, writer or new_writer(), batch)
+    def _pointer(self, spark: SparkSession) -> Pointer:
+        return Pointer(spark, f"{self.path}-state")
 
-    def batches(self, spark: SparkSession) -> DataFrame:
-        """All rows in force; partitions that a compaction stands for are not scanned."""
-        rows = read_batches(spark, self.path)
-        try:
-            listed = spark.read.parquet(f"{self.path}-replaced").distinct().collect()
-        except AnalysisException:
-            return rows
-        return rows.filter(~_among(listed))
+    def _folder(self, batch: list) -> str:
+        return f"{self.path}/batch_writer={batch[0]}/batch_number={batch[1]}"
+
+    def upsert(
+        self, df: DataFrame, batch: int | None = None, writer: str | None = None, approve: Callable[[], None] | None = None
+    ) -> None:
+        """Write the newest row per key of ``df``; a stream gives its own id and its batch number.
+
+        A batch its writer has already written changes nothing, nor does one that
+        ``approve``, called once it is written, refuses by raising.
+        """
+        spark = df.sparkSession
+        pointer = self._pointer(spark)
+        if writer is not None and pointer.read()[1].get("writers", {}).get(writer, -1) >= (batch or 0):
+            return
+        name = [writer or PUSHES, (batch or 0) if writer else one_off()]
+        rows = latest_per_key(df, list(self.keys), self.ts, self.created)
+        write_batch(rows.withColumn("batch_time", F.current_timestamp()), self.path, *name, approve)
+        there = pointer.exists(self._folder(name))  # no rows, no folder
+
+        def more(state: dict) -> dict:
+            if writer is not None:
+                state.setdefault("writers", {})[writer] = batch or 0
+            if there and name not in state.setdefault("batches", []):
+                state["batches"].append(name)
+            return self._listed(state)
+
+        if len(pointer.change(more).get("batches", [])) >= self.most:
+            self._fold(spark, whole=False)
+
+    def _listed(self, state: dict) -> dict:
+        """The state with all its folders, so that those it drops are removed."""
+        state["folders"] = [f for f in (state.get("base"),) if f] + [self._folder(b) for b in state.get("batches", [])]
+        return state
+
+    def _parts(self, spark: SparkSession, state: dict) -> tuple[DataFrame | None, DataFrame | None]:
+        """The base and the batches in force."""
+        base = batches = None
+        if state.get("base"):
+            base = _typed(spark.read.parquet(f"{self.path}-state/{state['base']}"))
+        if state.get("batches"):
+            folders = [self._folder(b) for b in state["batches"]]
+            batches = _typed(spark.read.option("basePath", self.path).option("mergeSchema", False).parquet(*folders))
+        return base, batches
+
+    def batches(self, spark: SparkSession, state: dict | None = None) -> DataFrame:
+        """All rows in force."""
+        base, batches = self._parts(spark, self._pointer(spark).read()[1] if state is None else state)
+        if base is None:
+            return read_batches(spark, self.path) if batches is None else batches
+        base = base.drop("bucket")
+        return base if batches is None else base.unionByName(batches, allowMissingColumns=True)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return self._newest(self.batches(spark)).drop("batch_writer", "batch_number", "batch_time")
 
+    def read_keys(self, asked: DataFrame) -> DataFrame:
+        """The rows of the keys in ``asked``, from the buckets they lie in."""
+        spark = asked.sparkSession
+        base, batches = self._parts(spark, self._pointer(spark).read()[1])
+        known = next((df for df in (batches, base) if df is not None), None)
+        schema = (read_batches(spark, self.path) if known is None else known).schema
+        # a value hashes by its type, so the keys take the table's
+        wanted = asked.select(*[F.col(k).cast(schema[k].dataType).alias(k) for k in self.keys]).dropna().distinct()
+        parts = [] if batches is None else [batches]
+        if base is not None:
+            numbers = [r[0] for r in wanted.select(self._bucket().alias("b")).distinct().collect()]  # at most all buckets
+            parts.append(base.where(F.col("bucket").isin(numbers)).drop("bucket"))
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts or [read_batches(spark, self.path)])
+        found = rows.join(wanted, list(self.keys), "left_semi")
+        return self._newest(found).drop("batch_writer", "batch_number", "batch_time")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
     def _newest(self, rows: DataFrame) -> DataFrame:
         # among equal event times the row that was written first stands
         order = [F.desc(self.ts), F.asc("batch_time"), F.asc("batch_number")] + ([F.desc(self.created)] if self.created else [])
         return top_rows(rows, list(self.keys), order)
 
     def compact(self, spark: SparkSession) -> None:
-        """Fold all partitions in force into one; batches written meanwhile stay as they are.
+        """Fold all batches in force into the base; batches written meanwhile stay as they are."""
+        self._fold(spark, whole=True)
+
+    def _fold(self, spark: SparkSession, whole: bool) -> None:
+        """Fold the batches into one, or with the base into a new one.
 
-        The new partition is written before the old ones are listed, and holds no
-        value they lack, so a crash in between changes no answer.
+        What was folded counts until the pointer names the new folder, which holds no
+        value it lacks, so a crash in between changes no answer.
         """
-        rows = self.batches(spark)
-        seen = rows.select("batch_writer", "batch_number").distinct().collect()  # names of partitions, not rows
-        if not seen:
+        pointer = self._pointer(spark)
+        state = pointer.read()[1]
+        old, base = state.get("batches", []), state.get("base")
+        if not old:
             return
-        state = self._newest(rows.filter(_among(seen))).drop("batch_writer", "batch_number")
-        write_batch(state, self.path, new_writer(), 0)
-        listed = spark.createDataFrame([tuple(r) for r in seen], "batch_writer string, batch_number long")
-        listed.coalesce(1).write.mode("append").parquet(f"{self.path}-replaced")
+        if not whole:
+            held, added = (0 if df is None else df.count() for df in self._parts(spark, state))
+            whole = 4 * added >= held
+        rows = self.batches(spark, state if whole else state | {"base": None})
+        newest = self._newest(rows).drop("batch_writer", "batch_number")
+        batch, folder = [FOLDED, one_off()], f"base-{uuid.uuid4().hex}"
+        if whole:
+            named = _named(newest, *batch).withColumn("bucket", self._bucket())
+            order = ["bucket", *self.keys]
+            spread = named.coalesce(1) if fits_one_task(named) else named.repartitionByRange(*order)
+            spread.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}-state/{folder}")
+        else:
+            write_batch(newest, self.path, *batch)
+
+        def swap(now: dict) -> dict | None:
+            if now.get("base") != base or not all(b in now["batches"] for b in old):
+                return None  # somebody else has folded them
+            left = [b for b in now["batches"] if b not in old]
+            now |= {"base": folder, "batches": left} if whole else {"batches": [batch, *left]}
+            return self._listed(now)
+
+        if (folder if whole else self._folder(batch)) not in pointer.change(swap).get("folders", []):
+            pointer.remove(folder if whole else self._folder(batch))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from datetime import timedelta
+from functools import cache
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..operators.project import to_utc
 from ..operators.tiles import build_tiles, merge_tiles, windowed_from_tiles
 from ..plans.workspace import Workspace
 from ..sources.write import read_batches, write_batch
+from .state import stream_windows, timer_store
 
 
 def _start(
@@ -55,14 +57,37 @@ def ingest(
     rows = transform(stream) if transform else stream
     place = checkpoint or os.path.join(workspace.root, "checkpoints", view)
 
+    named = cache(lambda: stream_id(workspace.spark, place))  # Spark names a stream before its first batch
+
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = latest_per_key(batch.select(*columns), list(v.keys), v.ts)
         stamped = newest.withColumn(created, F.current_timestamp())
-        workspace.write_view(stamped, view, to, batch_id, stream_id(workspace.spark, place))
+        workspace.write_view(stamped, view, to, batch_id, named())
 
     return _start(rows, write, place, every)
 
 
+def run_view(
+    workspace: Workspace, view: str, to: str = "online", every: str | None = None, checkpoint: str | None = None
+) -> StreamingQuery:
+    """Feed a stream view's tables from its stream: rows as they come, or windows as they close."""
+    v, spark = workspace.views[view], workspace.spark
+    rows = v.stream_rows(spark)
+    if not v.aggregations:
+        return ingest(workspace, view, rows, to, None, every, checkpoint)
+    if not v.hop:
+        raise ValueError(f"view {view}: windows over a stream need a hop")
+    place = checkpoint or os.path.join(workspace.root, "checkpoints", view)
+    windows = stream_windows(rows, list(v.keys), list(v.aggregations), v.ts, v.hop, v.watermark).withColumnRenamed("window_end", v.ts)
+    named = cache(lambda: stream_id(spark, place))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        workspace.write_view(batch, view, to, batch_id, named())
+
+    with timer_store(spark):
+        return _start(windows, write, place, every)
+
+
 def stream_aggregate(
     stream: DataFrame, keys: list[str], specs: list[Aggregation], ts: str, watermark: str = "0 seconds"
 ) -> DataFrame:
@@ -101,8 +126,10 @@ def stream_tiles(
     Tiles merge, so late rows just add a tile to an old hop and need no state.
     """
 
+    named = cache(lambda: stream_id(stream.sparkSession, checkpoint))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(build_tiles(batch, keys, specs, ts, hop), path, stream_id(batch.sparkSession, checkpoint), batch_id)
+        write_batch(build_tiles(batch, keys, specs, ts, hop), path, named(), batch_id)
 
     return _start(stream, write, checkpoint, every)
 
