@@ -19,8 +19,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -82,12 +84,15 @@ def spans(text: str, encode: Callable[[str], list[int]], most_characters: float)
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LENGTH]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
+    starts = sorted(s for _, s, _ in found)
+    reach = [0, *accumulate((e for _, _, e in sorted(found, key=lambda s: s[1])), max)]  # of the first spans by start
+    random = []
     for m in RUN.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for _, s, e in found):
-            continue
-        if is_random(m[0], encode, most_characters):
-            found.append(("random", start, end))
+        # spans that start before the run's end, and whether one of them goes into the run
+        if reach[bisect_left(starts, end)] <= start and is_random(m[0], encode, most_characters):
+            random.append(("random", start, end))
+    found += random
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
