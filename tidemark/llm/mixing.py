@@ -33,7 +33,7 @@ from tidemark.operators.skew import running_totals
 from .common import join_groups, stored
 
 CELLS = 1 << 17  # words the dynamic program settles
-PART_ROWS = 50_000  # documents of one length ranked together
+PART_ROWS = 1_000  # documents of one length ranked together
 EXACT = "decimal(38,0)"
 
 
