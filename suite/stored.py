@@ -116,9 +116,9 @@ def ivf_exact_cosine(t):
 
 @query(f"with {SQL_CENTRES} select label as query, 10 as found, true as recalled from centres")
 def pq_topk(t):
-    """Search by codes of 16 bytes, re-ranked: found rows per query, and whether at least nine of the ten true ones are among them."""
+    """Search by codes of 32 bytes, re-ranked: found rows per query, and whether at least nine of the ten true ones are among them."""
     index = VectorIndex(scratch_path(t.spark, "vectors"), "vec_id", "embedding", "l2")
-    index.build(t.embeddings, nlist=8, parts=16)
+    index.build(t.embeddings, nlist=8, parts=32)
     asked = centres(t)
     found = index.search_coded(asked, "query", "centre", 10, nprobe=8, refine=20)
     exact = vector_search(t.embeddings, asked, "vec_id", "embedding", "query", "centre", "l2")

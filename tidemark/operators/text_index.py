@@ -221,11 +221,12 @@ class TextIndex:
             kind = queries.schema[qid].dataType.simpleString()
             return spark.createDataFrame([], f"`{qid}` {kind}, `{self.doc}` long, distance double")
         asked = reliable(asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")))
-        wanted = [r[0] for r in asked.select("bucket").distinct().collect()]  # at most all buckets
-        blocks = self._read(spark, state["folders"]).where(F.col("bucket").isin(wanted))
-        some = [r[0] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
-        if len(some) <= FEW_TERMS:
-            blocks = blocks.where(F.col("term").isin(some))
+        some = asked.select("term", "bucket").distinct().limit(FEW_TERMS + 1).collect()
+        few = len(some) <= FEW_TERMS
+        wanted = {r["bucket"] for r in (some if few else asked.select("bucket").distinct().collect())}  # at most all buckets
+        blocks = self._read(spark, state["folders"]).where(F.col("bucket").isin(sorted(wanted)))
+        if few:
+            blocks = blocks.where(F.col("term").isin([r["term"] for r in some]))
         docs = float(state["docs"])
         have = blocks.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("tf")).alias("df"))
         idf = F.greatest(F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(BM25_MIN_IDF))
@@ -256,6 +257,10 @@ class TextIndex:
             sums = sums.where("_hit = _want") if every else sums
             return top_rows(sums.select(qid, self.doc, "distance"), [qid], [F.asc("distance"), F.asc(self.doc)], k, "_rank")
 
+        if (ranges.agg(F.max("_turn")).first()[0] or 0) <= FIRST_RANGES:  # nothing to pass over
+            if seen is not None:
+                seen |= dict.fromkeys(("ranges", "scored"), ranges.count())
+            return scored(ranges).drop("_rank")
         first = reliable(scored(ranges.where(F.col("_turn") <= FIRST_RANGES)))
         worst = first.where(F.col("_rank") == k).select(qid, (-F.col("distance")).alias("_worst"))
         rest = ranges.where(F.col("_turn") > FIRST_RANGES).join(worst, qid, "left")
