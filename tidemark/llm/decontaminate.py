@@ -13,8 +13,12 @@ stand in the document letter by letter are read off their diagonal, and what is
 aligned within the band.
 
 The benchmark is read in blocks of bounded size, and each block is laid against all
-documents. Within a task a text is worked on in overlapping slices, so memory
-depends neither on the number of items nor on the length of a text.
+documents. Within a task a text is worked on in overlapping slices, and the shared
+q-grams of a slice in groups of items that have at most ``PAIRS`` of them, so memory
+depends neither on the number of items nor on the length of a text. An item that alone
+has more, as where both texts repeat a sign or a line, is not counted pair by pair: each
+distinct stretch of the slice that holds enough of the item's q-grams is laid against
+each distinct piece once, and what is found counts wherever that stretch stands.
 
 Defined cases: a null or empty text, on either side, matches nothing, and neither
 does an item of fewer than ``least`` characters after normalising, which ordinary
@@ -36,6 +40,7 @@ from .common import MARK, per_text
 BLOCK_CHARS = 1_000_000  # of benchmark text that a task holds
 SLICE_CHARS = 200_000  # of a document looked at together
 ALIGNED = 2000  # pieces aligned together
+PAIRS = 1_500_000  # shared q-grams of a slice looked at together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "id long, item_id long, start long, end long, edits long"
 
@@ -71,6 +76,21 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for ``many[0]`` numbers, and so on."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+def _content(chars: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Two hashes in one number of the ``size`` characters from each start."""
+    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    for j in range(size):
+        c = chars[starts + j].astype(np.uint64)
+        one = one * BASE + c
+        two = (two ^ c) * np.uint64(0x100000001B3)
+    return one ^ (two << np.uint64(32) | two >> np.uint64(32))
+
+
 def budget(m: int, q: int, rate: float) -> int:
     """Edits allowed in a piece of ``m`` characters: its share, as far as the lemma's bound stays at 4 or more."""
     return max(0, min(int(m * rate), (m - 3) // q - 1))
@@ -129,10 +149,28 @@ class Block:
         slot = np.minimum(np.searchsorted(self.keys, own[at]), len(self.keys) - 1)
         hit = self.keys[slot] == own[at]
         at, slot = at[hit], slot[hit]
-        many = self.many[slot]
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        entry = np.repeat(self.first[slot], many) + within
-        doc_at, item, item_at = np.repeat(at, many), self.owner[entry], self.place[entry]
+        if not len(at):
+            return []
+        order = np.argsort(slot, kind="stable")
+        at, slot = at[order], slot[order]
+        distinct, start, there = np.unique(slot, return_index=True, return_counts=True)
+        entry = _ranges(self.first[distinct], self.many[distinct])  # of the index, for every distinct shared q-gram
+        start, there = np.repeat(start, self.many[distinct]), np.repeat(there, self.many[distinct])
+        load = np.bincount(self.owner[entry], there, len(self.ids))
+        out = []
+        for k in np.flatnonzero(load > PAIRS).tolist():
+            out += self.by_stretches(k, chars, own)
+        load[load > PAIRS] = 0
+        group = (np.cumsum(load) // PAIRS).astype(np.int64)  # of an item
+        for g in np.unique(group[load > 0]).tolist():
+            mine = (load[self.owner[entry]] > 0) & (group[self.owner[entry]] == g)
+            doc_at = at[_ranges(start[mine], there[mine])]
+            pairs = np.repeat(entry[mine], there[mine])
+            out += self.counted(chars, doc_at, self.owner[pairs], self.place[pairs])
+        return out
+
+    def counted(self, chars: np.ndarray, doc_at: np.ndarray, item: np.ndarray, item_at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Pieces found along the bands that hold enough of the given shared q-grams."""
         # bands of 2 (k + 1) diagonals, one beginning every k + 1: any k + 1 lie in one of them
         step = self.most_edits + 1
         band = (doc_at - item_at + self.longest) // step
@@ -169,6 +207,51 @@ class Block:
                 out += self.align(chars, m, some, 2 * step)
         return out
 
+    def by_stretches(self, k: int, chars: np.ndarray, own: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Pieces of item ``k`` found in a slice by its distinct stretches; ``own`` are the slice's q-grams."""
+        m, most = self.pieces[k]
+        item = grams(self.chars[k], self.q)
+        shared = np.concatenate(([0], np.cumsum(np.isin(own, item))))
+        # a piece within its edits of a stretch from s lies in [s, s + m + most); what it is aligned with begins most earlier
+        starts = np.arange(max(len(chars) - (m - most) + 1, 0))
+        last = np.minimum(starts + m + most - self.q + 1, len(own))
+        starts = starts[shared[last] - shared[starts] >= self.need[k]]
+        wide = m + 2 * most + 1
+        padded = np.concatenate((np.zeros(most, np.uint32), chars, np.zeros(wide, np.uint32)))
+        _, first, which = np.unique(_content(padded, starts, wide), return_index=True, return_inverse=True)
+        pieces = np.unique(_content(self.chars[k], np.arange(len(self.chars[k]) - m + 1), m), return_index=True)[1]
+        # per distinct stretch the best match: start and end relative to the stretch, edits
+        best = np.full((len(first), 3), -1)
+        todo: list[tuple[int, int, int, int]] = []
+
+        def settle() -> None:
+            found = self.align(chars, m, [t[1:] for t in todo], 1, whole=True)
+            for (r, *_), (_, s, e, edits) in zip(todo, found):
+                if edits <= most and (best[r, 2] < 0 or edits < best[r, 2]):
+                    best[r] = s - starts[first[r]], e - starts[first[r]], edits
+            todo.clear()
+
+        for r, s in enumerate(starts[first].tolist()):
+            likely = self.likely(k, np.flatnonzero(np.isin(item, own[s : s + m + most - self.q + 1])))
+            for piece in pieces[likely[pieces]].tolist():
+                todo.append((r, k, piece, s - piece))
+                if len(todo) >= ALIGNED:
+                    settle()
+        if todo:
+            settle()
+        hit = best[which]
+        there = hit[:, 2] >= 0
+        spans = np.stack([starts[there] + hit[there, 0], starts[there] + hit[there, 1], hit[there, 2]], axis=1)
+        if not len(spans):
+            return []
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(spans[:, 1])
+        cuts = np.concatenate(([0], np.flatnonzero(spans[1:, 0] > reach[:-1]) + 1))
+        edits = np.minimum.reduceat(spans[:, 2], cuts)
+        ends = reach[np.append(cuts[1:], len(spans)) - 1]
+        joined = zip(spans[cuts, 0].tolist(), ends.tolist(), edits.tolist())
+        return [(k, max(0, s), min(len(chars), e), d) for s, e, d in joined]
+
     def likely(self, k: int, shared: np.ndarray) -> np.ndarray:
         """Whether the piece from each start of item ``k`` can be within its edits, by the item's shared q-grams."""
         m, most = self.pieces[k]
@@ -195,8 +278,10 @@ class Block:
                 out.append((a, b, s))
         return out
 
-    def align(self, chars: np.ndarray, m: int, some: list[tuple[int, int, int]], diagonals: int) -> list[tuple[int, int, int, int]]:
-        """Align pieces of length ``m`` along their bands; keeps those within the edit budget."""
+    def align(
+        self, chars: np.ndarray, m: int, some: list[tuple[int, int, int]], diagonals: int, whole: bool = False
+    ) -> list[tuple[int, int, int, int]]:
+        """Align pieces of length ``m`` along their bands; keeps those within the edit budget, or all as they come if ``whole``."""
         k = budget(m, self.q, self.rate)
         wide = diagonals + 2 * k  # a path may leave the counted diagonals by the budget
         padded = np.concatenate((np.zeros(self.longest + wide, np.uint32), chars, np.zeros(self.longest + 2 * wide + m, np.uint32)))
@@ -212,7 +297,7 @@ class Block:
         best = cost.argmin(axis=1)
         edits = cost[np.arange(len(some)), best]
         out = []
-        for n in np.flatnonzero(edits <= k):
+        for n in range(len(some)) if whole else np.flatnonzero(edits <= k):
             end = int(first[n]) + m + int(best[n])
             out.append((some[n][0], max(0, end - m), min(len(chars), end), int(edits[n])))
         return out
