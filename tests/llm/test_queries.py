@@ -7,13 +7,15 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
+from test_bounds import base_spans
 from test_operators import brute_components, brute_katz, brute_repeats
 
 import corpus_pipeline
 from tidemark.llm import queries, simhash
-from tidemark.llm.quality import classify
+from tidemark.llm.quality import classify, statistics
 from tidemark.llm.secret_scan import _encoding, spans, written
 
 WORDS = "thon andre ining the of estion wher blean thand ouer inonthe reed esthen haing tion le de que".split()
@@ -84,10 +86,18 @@ def test_op4(spark, folder):
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     place, docs, *_ = folder
-    tokens = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in docs}
-    assert {tuple(r) for r in got(spark, "op4_prefix_token_counts", place)} == {
-        (i, len((t or "").encode()), tokens[i], tokens[i] > 2048) for i, t, *_ in docs
-    }
+    def count(text):
+        return len(library.encode(text, add_special_tokens=False).ids)
+
+    rows = got(spark, "op4_prefix_token_counts", place)
+    assert {tuple(r)[:4] for r in rows} == {(i, len((t or "").encode()), count(t or ""), count(t or "") > 2048) for i, t, *_ in docs}
+    for r in rows:  # the longest prefix at a word's end of at most 2048 tokens
+        text = docs[r["doc_id"]][1] or ""
+        ends = [m.end() for m in re.finditer("[^ \n]+", text)]
+        fitting = r["fitting_chars"]
+        assert fitting in (0, *ends) and count(text[:fitting]) <= 2048
+        further = [e for e in ends if e > fitting]
+        assert not further or count(text[: further[0]]) > 2048
 
 
 def test_op5(spark, folder):
@@ -96,6 +106,7 @@ def test_op5(spark, folder):
     for r in got(spark, "op5_secret_scan", place):
         found = spans(docs[r["doc_id"]][1] or "", encode, 2.2)
         base = [s for s in found if s[0] != "random"]
+        assert base == base_spans(docs[r["doc_id"]][1] or "")
         assert r["spans"] == written(found)
         assert r["base_sha256"] == hashlib.sha256(written(base).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
@@ -152,6 +163,25 @@ def test_op8(spark, folder):
         assert rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
         if " | " in (t or ""):
             assert rows[i]["predicted"] == 0
+    # the discriminant worked out plainly, from the texts' statistics
+    x = {i: np.array(statistics(t or "")) for i, t, *_ in docs}
+    fitted = [[], []]
+    for i, t, *_ in docs:
+        if i % 4 and zlib.crc32(str(i).encode()) % 5:
+            fitted[0 if " | " in (t or "") else 1].append(x[i])
+    n = [len(c) for c in fitted]
+    own = [np.cov(np.array(c).T, bias=True) for c in fitted]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / sum(n)
+    density = []
+    for c, cov in zip(fitted, own):
+        mixed = 0.8 * cov + 0.2 * pooled
+        mixed = 0.9 * mixed + 0.1 * np.diag(np.diag(mixed)) + (1e-3 * np.trace(pooled) / len(pooled) + 1e-9) * np.eye(len(pooled))
+        back, mean = np.linalg.inv(mixed), np.mean(c, axis=0)
+        spread = np.linalg.slogdet(mixed)[1]
+        density.append(lambda v, m=mean, b=back, d=spread, k=len(c): np.log(k / sum(n)) - 0.5 * (d + (v - m) @ b @ (v - m)))
+    for i in rows:
+        want = 1 / (1 + np.exp(np.clip(density[0](x[i]) - density[1](x[i]), -700, 700)))
+        assert rows[i]["score"] == pytest.approx(want, abs=1e-9) and rows[i]["predicted"] == (rows[i]["score"] >= 0.3)
 
 
 def packed(rows, docs):
