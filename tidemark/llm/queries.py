@@ -64,11 +64,19 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op4_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes and tokens of every document, and whether it is over 2048 tokens."""
-    from .token_counts import count_tokens
-
-    counted = count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+    """Bytes and tokens of every document, whether it is over 2048 tokens, and how many characters fit these.
+
+    All of it is read from the stored token counts at the ends of words.
+    """
+    from .common import stored
+    from .token_counts import fits_budget, n_tokens, prefix_tables
+
+    prefixes = prefix_tables(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    known = stored(prefixes, "token-prefixes").withColumn("n_tokens", n_tokens())
+    over = F.col("n_tokens") > 2048
+    return known.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", over.alias("over_limit"), fits_budget(2048).cast("long").alias("fitting_chars")
+    )
 
 
 @query()
