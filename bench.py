@@ -24,7 +24,8 @@ HEADLINE = (
     "impute_and_scale clean_first_orders training_rows ratios encode_labels dq_suite dq_profile dq_column_stats "
     "chunks embedded_documents vector_topk_cosine vector_topk_l2 bm25_any bm25_all match_all_terms "
     "lineage_edges lineage_trace_all model_metrics stream_latest stream_tumbling stream_tiled "
-    "historical_aggregate_view sliding_tiled_latest on_demand_pandas ivf_topk lineage_trace stream_after_materialize"
+    "historical_aggregate_view sliding_tiled_latest on_demand_pandas ivf_topk lineage_trace stream_after_materialize "
+    "sliding_sparse asof_stored lookup_buckets"
 ).split()
 
 
