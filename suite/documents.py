@@ -1,5 +1,6 @@
 """Chunking, embeddings, vector and text search."""
 
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from tidemark.sources.read import read_documents
 
 from . import near, query
 
+# A text file of documents is one row when it is read, so larger inputs are more files.
+FILE_BYTES = 8 * 1024 * 1024
+
+
 def sql_last(mark: str) -> str:
     """Offset of the last occurrence of a break in a piece, or -1 (0-based)."""
     return f"length(piece) - length(list_last(string_split(piece, {mark}))) - length({mark})"
@@ -341,7 +346,8 @@ def bm25_repeated_ids(t):
 def document_files(t):
     """Documents written as text files and loaded file by file."""
     place = scratch_path(t.spark, "files")
-    t.documents.select("text").repartition(4).write.text(place)
+    size = t.documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    t.documents.select("text").repartition(max(4, math.ceil(size / FILE_BYTES))).write.text(place)
     files = read_documents(t.spark, place)
     return files.agg(F.sum("size").alias("size"), F.bool_and(F.endswith("source", "filename")).alias("named"))
 
