@@ -7,10 +7,13 @@ from bisect import bisect_right
 from typing import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import spread_small
 from .skew import running_totals
@@ -19,7 +22,9 @@ from .text import tokens
 # Where a chunk may end, most wanted first.
 BREAKS = (". ", "\n\n", "\n", " ")
 
-CHUNKS = "array<struct<text: string, start_char: int, end_char: int>>"
+# Of chunks that leave a task at a time.
+BATCH_CHARS = 2_000_000
+BATCH_CHUNKS = 10_000
 
 
 def chunk_spans(text: str, size: int, overlap: int, tail: bool = False) -> list[tuple[int, int]]:
@@ -52,6 +57,34 @@ def chunk_spans(text: str, size: int, overlap: int, tail: bool = False) -> list[
     return list(spans(0))
 
 
+def _pieces(
+    batches: Iterator[pa.RecordBatch], spans: Callable[[str], list[tuple[int, int]]], schema: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    """Chunks of the texts in the last column, behind the other columns' values.
+
+    What leaves at a time is bounded, however many texts a batch holds and however long they are.
+    """
+
+    def whole(batch: pa.RecordBatch, rows: list[int], found: list[tuple[int, str, int, int]]) -> pa.RecordBatch:
+        kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+        made = [pa.array(c, f.type) for c, f in zip(zip(*found), list(schema)[len(kept) :])]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*kept, *made], schema)], schema=schema)
+
+    for batch in batches:
+        rows, found, chars = [], [], 0
+        for i, value in enumerate(batch.columns[-1]):
+            t = value.as_py()
+            for pos, (a, b) in enumerate(spans(t) if t is not None else ()):
+                rows.append(i)
+                found.append((pos, t[a:b].strip(), a, b))
+                chars += b - a
+                if chars >= BATCH_CHARS or len(found) >= BATCH_CHUNKS:
+                    yield whole(batch, rows, found)
+                    rows, found, chars = [], [], 0
+        if found:
+            yield whole(batch, rows, found)
+
+
 def chunk(
     df: DataFrame, text: str, size: int = 1000, overlap: int = 200, tail: bool = False, keep: list[str] | None = None
 ) -> DataFrame:
@@ -63,17 +96,19 @@ def chunk(
     if size <= 0 or overlap < 0:
         raise ValueError("size must be positive and overlap not negative")
 
-    @F.pandas_udf(CHUNKS)
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: [(t[a:b].strip(), a, b) for a, b in chunk_spans(t, size, overlap, tail)]
-            if t is not None
-            else None
-        )
-
     keep = keep if keep is not None else [c for c in df.columns if c != text]
+    names = [f"_k{i}" for i in range(len(keep))]
+    kept = [f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep)]
+    ddl = ", ".join([*kept, "pos int, text string, start_char int, end_char int"])
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pieces(batches, lambda t: chunk_spans(t, size, overlap, tail), schema)
+
     rows = spread_small(df.select(*dict.fromkeys([*keep, text])))
-    return rows.select(*keep, F.posexplode(split(F.col(text))).alias("pos", "_c")).select(*keep, "pos", "_c.*")
+    rows = rows.select(*[F.col(c).alias(n) for n, c in zip(names, keep)], F.col(text).alias("_text"))
+    out = rows.mapInArrow(split, ddl)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "pos", "text", "start_char", "end_char")
 
 
 def number_chunks(chunks: DataFrame, doc: str, pos: str = "pos", name: str = "chunk_id") -> DataFrame:
