@@ -1,13 +1,19 @@
 """Steps whose memory, shuffles or time must not outgrow the input."""
 
 import os
+import re
+from datetime import datetime, timedelta
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import suite
 from helpers import rows, small
-from tidemark.operators import docs
+from tidemark.operators import asof, docs, ml, text, tiles
+from tidemark.operators.aggregate import Aggregation
+from tidemark.session import reliable
+from tidemark.streaming import state
 
 suite.load_all()
 
@@ -42,3 +48,113 @@ def test_chunks_leave_in_bounded_batches(spark):
     df = small(spark, [(1, "x", "one two. three"), (2, None, None)], "id long, tag string, text string")
     want = [(1, "x", n, "one two. three"[a:b].strip(), a, b) for n, (a, b) in enumerate(docs.chunk_spans("one two. three", 10, 2))]
     assert rows(docs.chunk(df, "text", 10, 2)) == want
+
+
+def test_binned_training_keeps_every_row(spark, monkeypatch):
+    """Above the bound rows of the same bins become weighted ones; the model is as good and reads raw features."""
+    table = spark.range(6000).select(
+        (F.xxhash64("id") % 1000 / 10.0).alias("a"), (F.xxhash64("id", F.lit(1)) % 1000 / 10.0).alias("b")
+    ).withColumn("y", (F.col("a") + F.col("b") > 20).cast("int"))
+    table = reliable(table)
+    monkeypatch.setattr(ml, "MOST_ROWS", 1500)
+    seen = []
+    inner = ml._binned
+
+    def spy(*args, **how):
+        out = inner(*args, **how)
+        seen.append((args[0].agg(F.sum("_weight")).first()[0], *out.agg(F.sum("_weight"), F.count("*")).first()))
+        return out
+
+    monkeypatch.setattr(ml, "_binned", spy)
+    for kind, settings in (("boosted", {"maxIter": 5}), ("forest", {"numTrees": 20})):
+        out = ml.predict(ml.train(table, ["a", "b"], "y", kind, **settings), table)
+        assert ml.evaluate(out, "probability", "prediction", "y").first()["roc_auc"] > 0.95
+    for whole, weight, instances in seen:
+        assert abs(whole - weight) < 1e-6 * whole and instances < 6000
+    assert len(seen) == 2
+
+
+def test_grids_are_dealt_by_their_rows(spark, monkeypatch):
+    """Few tiles that fill a long grid are many tasks."""
+    monkeypatch.setattr(tiles, "GRID_ROWS", 1000)
+    start = datetime(2024, 1, 1)
+    data = [(k, start + timedelta(hours=h), float(k + h)) for k in range(40) for h in (k % 5, 300)]
+    df = small(spark, data, "k long, ts timestamp_ntz, v double")
+    specs = [Aggregation("v", "sum", timedelta(hours=24))]
+    whole = {}
+    for dense in (True, "span"):
+        out = tiles.aggregate_tiled(df, ["k"], specs, "ts", timedelta(hours=1), dense)
+        assert out.rdd.getNumPartitions() >= (12 if dense is True else 2)
+        whole[dense] = rows(out)
+    assert len(whole[True]) == 40 * 301
+    filled = {r[:2]: r[2] for r in whole[True]}
+    assert all(filled[r[:2]] == r[2] for r in whole["span"])
+
+
+def test_joined_search_shuffles_no_pairs(spark):
+    """Scores of a row are summed where it lies; only k per query and task travel."""
+    docs_ = small(spark, [(i, f"red {'blue' if i % 2 else 'green'} w{i}") for i in range(200)], "d long, t string")
+    asked = small(spark, [(1, "red blue"), (2, "green w7")], "q long, t string")
+    found = text.bm25(docs_, "d", ["t"], asked, "q", "t", 3, "any", matrix_bytes=0)
+    assert rows(found) == rows(text.bm25(docs_, "d", ["t"], asked, "q", "t", 3, "any"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(q#\d+L?, d#", plan)
+
+
+def test_interval_lookups_do_not_walk_histories(spark):
+    """A broadcast side with long histories is looked up by key and time cell."""
+    start = datetime(2024, 1, 1)
+    side = small(spark, [(k, start + timedelta(hours=h), k * 1000 + h) for k in range(3) for h in range(0, 400, 2)], "k long, ts timestamp_ntz, v long")
+    data = [(i, i % 4, start + timedelta(minutes=37 * i - 100)) for i in range(700)] + [(701, None, start), (702, 1, None)]
+    entity = small(spark, data, "i long, k long, at timestamp_ntz")
+    how = asof.Side(side, ("k",), "ts", {"v": "v"}, ttl=timedelta(hours=300))
+    found = asof.asof_join(entity, how, "at", "broadcast")
+    assert rows(found) == rows(asof.asof_join(entity, how, "at", "window"))
+    assert "_cell" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_key_closes_its_windows_in_one_call(spark, tmp_path):
+    """Windows of a key that close together are one call; the values are those of tiles."""
+    ring = state.Ring(["k"], "ts", ["v"], [("sum", 0, "s", 3), ("std", 0, "d", 2)], 3_600_000_000)
+    calls = {"set": [], "gone": []}
+
+    class Handle:
+        def getValueState(self, name, schema):
+            class Value:
+                kept = None
+
+                def exists(self):
+                    return self.kept is not None
+
+                def get(self):
+                    return self.kept
+
+                def update(self, value):
+                    self.kept = value
+
+                def clear(self):
+                    self.kept = None
+
+            return Value()
+
+        def registerTimer(self, at):
+            calls["set"].append(at)
+
+        def deleteTimer(self, at):
+            calls["gone"].append(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 6 * 3_600_000
+
+        def getExpiryTimeInMs(self):
+            return calls["set"][-1]
+
+    ring.init(Handle())
+    hours = [5, 1, 2, 2, 8]
+    ring.handleInputRows((7,), iter([pd.DataFrame({"ts": pd.to_datetime([h * 3_600_000 + 5 for h in hours], unit="ms"), "v": [1.0, 2.0, 3.0, 5.0, 9.0]})]), None)
+    assert calls["set"] == [2 * 3_600_000]
+    (out,) = ring.handleExpiredTimer((7,), Times(), Times())
+    # the hop that ends at the watermark itself is still open
+    assert out["s"].tolist() == [2.0, 10.0] and out["d"].tolist()[0] is None and len(out) == 2
+    assert calls["set"] == [2 * 3_600_000, 6 * 3_600_000] and not calls["gone"]

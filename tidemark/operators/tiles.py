@@ -7,12 +7,14 @@ hop numbers in a single window operator.
 
 from __future__ import annotations
 
+import math
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import written
 from .aggregate import Aggregation
 from .skew import micros
 
@@ -102,6 +104,27 @@ def _moments(column: str) -> Column:
     return F.when(F.size(parts) > 0, F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, F.lit(0)), merge))
 
 
+# Rows of a filled grid per task, whose windows sort them several times.
+GRID_ROWS = 200_000
+
+
+def _dealt(tiles: DataFrame, keys: list[str], longest: int | None = None) -> DataFrame:
+    """The tiles, kept, in as many parts as the rows need that they are about to be filled up to.
+
+    A grid is many times its tiles, so the size of what is shuffled says little about a
+    task's memory. ``longest`` is how many hops a tile makes at most, without it up to
+    all there are.
+    """
+    tiles = written(tiles, "tiles")
+    per_key = tiles.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("hop").alias("lo"), F.max("hop").alias("hi"))
+    n, held, lo, hi = per_key.agg(F.count(F.lit(1)), F.sum("n"), F.min("lo"), F.max("hi")).first()
+    filled = n * (hi - lo + 1) if n else 0
+    if longest is not None:
+        filled = min(filled, (held or 0) * (longest + 1))
+    parts = math.ceil(filled / GRID_ROWS)
+    return tiles.repartition(parts, *keys) if parts > 1 else tiles
+
+
 def _span(tiles: DataFrame, keys: list[str], longest: int) -> DataFrame:
     """Every key's own hops: from its first one on, as long as a window of ``longest`` hops holds a tile, and one more.
 
@@ -334,7 +357,8 @@ def aggregate_tiled(
     if latest_only:
         return latest_from_tiles(tiles, keys, specs, hop, ts_as, bool(dense))
     if dense == "span":
-        return windowed_from_tiles(_span(tiles, keys, max(_back(s, hop) for s in specs)), keys, specs, hop, ts_as)
+        longest = max(_back(s, hop) for s in specs)
+        return windowed_from_tiles(_span(_dealt(tiles, keys, longest), keys, longest), keys, specs, hop, ts_as)
     if dense:
-        tiles = _grid(tiles, keys)
+        tiles = _grid(_dealt(tiles, keys), keys)
     return windowed_from_tiles(tiles, keys, specs, hop, ts_as, dense)
