@@ -130,8 +130,9 @@ def _interval_join(entity: DataFrame, side: Side, ets: str, span: list) -> DataF
     """Give every feature row the time it is valid until, then look it up by broadcast.
 
     Validity intervals of one key are disjoint, so an entity row meets at most one.
-    Without a key, time is cut into as many cells as there are intervals, and a row
-    looks only at the intervals of its cell.
+    Time is cut into as many cells as a key has intervals on average, and a row looks
+    only at the intervals of its key and cell, not at the key's whole history; cells
+    at most double the intervals.
     """
     order = [side.ts, *([side.created] if side.created else [])]
     rows = side.df.dropna(subset=[*side.keys, side.ts]).withColumn("_tie", side.tie_break())
@@ -146,10 +147,12 @@ def _interval_join(entity: DataFrame, side: Side, ets: str, span: list) -> DataF
     )
     valid = (F.col("_hit.at") <= F.col(ets)) & (F.col("_until").isNull() | (F.col(ets) < F.col("_until")))
     keys = list(side.keys)
-    if not keys:
-        keys = ["_cell"]
+    each = spans.groupBy(*[f"_key_{k}" for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    cells = int(each.agg(F.avg("n")).first()[0] or 1)
+    if not keys or cells > 1:
+        keys.append("_cell")
         lo, hi = span[2] or 0, span[3] or 0
-        cells = max(1, spans.count())
+        cells = max(1, cells)
         width = max(1, (hi - lo) // cells)
 
         def cell(c: Column) -> Column:
