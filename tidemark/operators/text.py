@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.columns import as_col
 from ..functions.stem import porter
-from ..session import reliable, spread_small
+from ..session import reliable, spread_small, written
 from .latest import top_rows
 from .topk import DIGITS, Best
 
@@ -29,6 +29,7 @@ BM25_MIN_IDF = 1e-6
 
 # A terms x queries matrix up to this many bytes goes to every executor.
 MATRIX_BYTES = 16 * 1024 * 1024
+BROADCAST_PAIRS = 500_000  # (query, term) pairs that go to every executor one by one
 
 
 def _accents() -> tuple[str, str]:
@@ -259,8 +260,16 @@ def bm25(
 
 
 def _bm25_join(df: DataFrame, doc: str, text: Column, asked: DataFrame, qid: str, match: str, stem: bool) -> DataFrame:
-    """The same by joining postings with the queries' terms."""
-    found = postings(df, doc, text, asked.select("term").distinct(), stem)
+    """The same by joining postings with the queries' terms.
+
+    Up to ``BROADCAST_PAIRS`` (query, term) pairs, far more than fit a matrix, go to the
+    postings, of which only those of asked terms are kept and dealt out by row: a
+    row's scores are summed, and all but k per query and task dropped, where it lies.
+    """
+    asked = reliable(asked)
+    few = asked.count() <= BROADCAST_PAIRS
+    vocabulary = asked.select("term").distinct()
+    found = written(postings(df, doc, text, F.broadcast(vocabulary) if few else vocabulary, stem), "postings")
     corpus = df.select(F.size(tokens(text)).alias("n")).agg(
         F.struct(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("length"))
     ).scalar()
@@ -272,7 +281,7 @@ def _bm25_join(df: DataFrame, doc: str, text: Column, asked: DataFrame, qid: str
         tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / corpus["length"])
     )
     scored = (
-        found.join(weighted, "term")
+        (found.repartition("row").join(F.broadcast(weighted), "term") if few else found.join(weighted, "term"))
         .groupBy(qid, doc, "row")
         .agg(F.sum(part).alias("_score"), F.count(F.lit(1)).alias("_hit"), F.first("n_terms").alias("_want"))
     )
