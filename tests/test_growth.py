@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import suite
 from helpers import rows, small
-from tidemark.operators import asof, docs, ml, text, tiles
+from tidemark.operators import asof, docs, ml, text, text_index, tiles
 from tidemark.operators.aggregate import Aggregation
 from tidemark.session import reliable
 from tidemark.streaming import state
@@ -158,3 +158,50 @@ def test_a_key_closes_its_windows_in_one_call(spark, tmp_path):
     # the hop that ends at the watermark itself is still open
     assert out["s"].tolist() == [2.0, 10.0] and out["d"].tolist()[0] is None and len(out) == 2
     assert calls["set"] == [2 * 3_600_000, 6 * 3_600_000] and not calls["gone"]
+
+
+def test_stored_postings_are_made_once_and_not_paired_with_queries(spark, tmp_path, monkeypatch):
+    """A document's words are read once for its blocks, its id stands once in a range, and a search explodes no postings."""
+    monkeypatch.setattr(text_index, "spread_small", lambda df: df)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = spark.range(500).select("id", F.concat_ws(" ", F.lit("all"), F.col("id") % 7, F.col("id") % 40).alias("text"))
+    index = text_index.TextIndex(str(tmp_path / "i"), "id", buckets=4, range_docs=50)
+    index.add(table.mapInArrow(count, "id long, text string"), ["text"])
+    assert read.value == 500
+
+    stored = index._read(spark, index._pointer(spark).read()[1]["folders"])
+    held = stored.agg(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.sum(F.when(F.col("term").isNotNull(), F.size("place")))).first()
+    assert held[0] == 500 and held[1] > 1000
+
+    plans, top = [], text_index.top_rows
+
+    def spy(df, *args):
+        plans.append(df._jdf.queryExecution().toString())
+        return top(df, *args)
+
+    monkeypatch.setattr(text_index, "top_rows", spy)
+    asked = small(spark, [(q, f"all {q} {q + 7}") for q in range(7)], "q long, ask string")
+    found = index.bm25(asked, "q", "ask", 3, "any")
+    want = text.bm25(table, "id", ["text"], asked, "q", "ask", 3, "any")
+    assert rows(found, "q", "id", "rank", "distance") == rows(want, "q", "id", "rank", "distance")
+    assert plans and not any("arrays_zip" in p for p in plans)
+
+
+def test_a_range_is_scored_for_slices_of_queries(spark, tmp_path, monkeypatch):
+    """More queries than a range is scored for at a time give the same answers, ties and repeated ids included."""
+    monkeypatch.setattr(text_index, "GROUP_QUERIES", 2)
+    monkeypatch.setattr(text_index, "BROADCAST_PAIRS", 0)
+    data = [(f"d{k % 30}", " ".join(["a"] * (k % 3) + [f"w{k % 5}", "é" if k % 2 else "x"])) for k in range(80)] + [("d1", None)]
+    table = small(spark, data, "doc string, text string")
+    asked = small(spark, [(q, f"a w{q} e") for q in range(5)] + [(5, "x"), (6, "nothing")], "q int, ask string")
+    index = text_index.TextIndex(str(tmp_path / "i"), "doc", buckets=3, range_docs=7)
+    index.add(table, ["text"])
+    for match in ("any", "all"):
+        want = text.bm25(table, "doc", ["text"], asked, "q", "ask", 4, match)
+        assert rows(index.bm25(asked, "q", "ask", 4, match), "q", "doc", "distance") == rows(want, "q", "doc", "distance")
