@@ -13,6 +13,8 @@ from helpers import rows, small
 from tidemark.operators import asof, docs, ml, text, text_index, tiles
 from tidemark.operators.aggregate import Aggregation
 from tidemark.session import reliable
+from tidemark.sources import buckets
+from tidemark.sources.buckets import BucketTable
 from tidemark.streaming import state
 
 suite.load_all()
@@ -205,3 +207,24 @@ def test_a_range_is_scored_for_slices_of_queries(spark, tmp_path, monkeypatch):
     for match in ("any", "all"):
         want = text.bm25(table, "doc", ["text"], asked, "q", "ask", 4, match)
         assert rows(index.bm25(asked, "q", "ask", 4, match), "q", "doc", "distance") == rows(want, "q", "doc", "distance")
+
+
+def test_bucket_rows_are_not_read_for_a_sample(spark, tmp_path, monkeypatch):
+    """Rows that go into buckets are read for their keys and to be written, and once more for the keys if rows were there."""
+    monkeypatch.setattr(buckets, "ONE_FILE_BYTES", 0, raising=False)
+    monkeypatch.setattr(buckets, "fits_one_task", lambda *dfs: False, raising=False)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = BucketTable(str(tmp_path / "t"), ("k",), "k long, v long", 4)
+    first = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    table.replace(first.limit(0).select("k"), first.mapInArrow(count, "k long, v long"))
+    assert read.value == 600
+    assert rows(table.read_keys(spark.range(3).select(F.col("id").alias("k")))) == [(0, 0), (1, 2), (2, 4)]
+    monkeypatch.setattr(buckets, "BROADCAST_KEYS", 0, raising=False)
+    table.replace(first.where("k < 10").select("k"), first.where("k < 5").withColumn("v", F.lit(-1)))
+    assert rows(table.read(spark).where("k < 12")) == rows(small(spark, [(k, -1) for k in range(5)] + [(10, 20), (11, 22)], "k long, v long"))
