@@ -12,6 +12,8 @@ import suite
 from helpers import rows, small
 from tidemark.operators import asof, docs, ml, text, text_index, tiles
 from tidemark.operators.aggregate import Aggregation
+from tidemark.plans import documents
+from tidemark.plans.documents import DocumentTable
 from tidemark.session import reliable
 from tidemark.sources import buckets
 from tidemark.sources.buckets import BucketTable
@@ -228,3 +230,26 @@ def test_bucket_rows_are_not_read_for_a_sample(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(buckets, "BROADCAST_KEYS", 0, raising=False)
     table.replace(first.where("k < 10").select("k"), first.where("k < 5").withColumn("v", F.lit(-1)))
     assert rows(table.read(spark).where("k < 12")) == rows(small(spark, [(k, -1) for k in range(5)] + [(10, 20), (11, 22)], "k long, v long"))
+
+
+def test_texts_of_documents_stay_where_they_lie(spark, tmp_path, monkeypatch):
+    """Changed texts are chunked without a shuffle of texts, unless ids repeat."""
+    plans, whole = [], documents.chunk
+
+    def spy(df, *args, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, *args, **kw)
+
+    monkeypatch.setattr(documents, "chunk", spy)
+    data = spark.range(60).select("id", F.concat(F.lit("One two. "), F.col("id") % 50).alias("t"))
+    data.write.parquet(str(tmp_path / "d"))
+    data = spark.read.parquet(str(tmp_path / "d"))
+    table = DocumentTable(str(tmp_path / "t"), "id", "long", 40, 10, buckets=4)
+    assert table.update(data, "t")["changed"] == 60
+    done = table.update(data.where("id <> 7").withColumn("t", F.when(F.col("id") < 20, F.concat("t", F.lit("!"))).otherwise(F.col("t"))), "t")
+    assert (done["changed"], done["removed"]) == (19, 1)
+    assert not any("hashpartitioning" in p for p in plans) and "BroadcastHashJoin" in plans[1]
+    twice = small(spark, [(1, "a"), (1, "b"), (1, "b"), (2, None)], "id long, t string")
+    table.update(twice, "t")
+    greatest = max(("a", "b"), key=lambda x: __import__("hashlib").sha256(x.encode()).hexdigest())
+    assert rows(table.read(spark), "id", "pos", "text") == [(1, 0, greatest)]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.docs import Model, chunk, embed
-from ..session import reliable
-from ..sources.buckets import BucketTable
+from ..session import reliable, written
+from ..sources.buckets import BROADCAST_KEYS, BucketTable
 
 
 @dataclass(frozen=True)
@@ -58,18 +58,17 @@ class DocumentTable:
         spark = docs.sparkSession
         given = docs.select(F.col(self.doc).cast(self.doc_type).alias(self.doc), F.col(text).alias("_text")).dropna(subset=[self.doc])
         given = given.withColumn("text_hash", F.sha2(F.coalesce("_text", F.lit("")), 256))
-        now = reliable(given.groupBy(self.doc).agg(F.max("text_hash").alias("text_hash")))
+        now = reliable(given.groupBy(self.doc).agg(F.max("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("_rows")))
         before = self.documents.read(spark)
         changed = reliable(now.join(before, [self.doc, "text_hash"], "left_anti"))
         gone = reliable(before.join(now, self.doc, "left_anti").select(self.doc))
-        rows = given.join(changed, [self.doc, "text_hash"], "left_semi").dropDuplicates([self.doc])
-        pieces = chunk(rows.select(self.doc, "_text"), "_text", self.size, self.overlap, self.tail, keep=[self.doc])
-        pieces = reliable(pieces.withColumn("hash", F.sha2("text", 256)))
+        pieces = chunk(self._rows_of(given, now, changed), "_text", self.size, self.overlap, self.tail, keep=[self.doc])
+        pieces = written(pieces.withColumn("hash", F.sha2("text", 256)), "pieces")
 
         # embeddings first, then chunks, then what is known: each is right without the next
         texts = pieces.groupBy("hash").agg(F.first("text").alias("text"))
-        fresh = reliable(texts.join(self.embeddings.read_keys(texts).select("hash"), "hash", "left_anti"))
-        made = reliable(embed(fresh, "text", self.model, dim=self.dim).select("hash", "embedding"))
+        fresh = texts.join(self.embeddings.read_keys(pieces).select("hash"), "hash", "left_anti")
+        made = written(embed(fresh, "text", self.model, dim=self.dim).select("hash", "embedding"), "made")
         self.embeddings.replace(made, made)
         touched = changed.select(self.doc).unionByName(gone)
         dropped = reliable(self.chunks.read_keys(touched).select("hash").distinct())
@@ -80,6 +79,17 @@ class DocumentTable:
         names = {"changed": changed, "removed": gone, "chunks": pieces, "embedded": made, "forgotten": unused}
         return {name: df.count() for name, df in names.items()}
 
+    def _rows_of(self, given: DataFrame, now: DataFrame, changed: DataFrame) -> DataFrame:
+        """One row per changed document; texts move only where ids repeat or the changed ones are neither few nor all."""
+        repeated = not changed.where("_rows > 1").isEmpty()
+        if repeated:
+            return given.join(changed, [self.doc, "text_hash"], "left_semi").dropDuplicates([self.doc]).select(self.doc, "_text")
+        n = changed.count()
+        if n == now.count():
+            return given.select(self.doc, "_text")
+        ids = changed.select(self.doc)
+        return given.select(self.doc, "_text").join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, self.doc, "left_semi")
+
     def read(self, spark: SparkSession) -> DataFrame:
         """(doc, pos, start_char, end_char, text, embedding)."""
         return self.chunks.read(spark).join(self.embeddings.read(spark), "hash").drop("hash")
